@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["taken"])
     position = F.when(F.size("passes") > 0, F.element_at("passes", 1)["position"])
     out = out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), "passes")
-    return scratch.finish(out.orderBy(F.col("position").asc_nulls_last()))
+    return scratch.finish(out.orderBy(F.col("position").asc_nulls_last(), "doc_id"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
