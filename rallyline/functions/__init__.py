@@ -1,0 +1,64 @@
+"""Column builders: scalars, zones and statistics; all JVM-side expressions."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Court width and length in metres.
+COURT_W, COURT_L = 6.1, 13.4
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def number(text: Column) -> Column:
+    """Tolerant cast: blank, invalid, NaN and infinite give null."""
+    x = F.trim(text).try_cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(math.inf)), None).otherwise(x)
+
+
+def opposite(side: Column) -> Column:
+    return F.when(side == "upper", "lower").when(side == "lower", "upper")
+
+
+def depth_zone(side: Column, y: Column, length: float = COURT_L) -> Column:
+    """Thirds of a half court, half-open, seen from the side's own net."""
+    d = F.when(side == "upper", length / 2 - y).when(side == "lower", y - length / 2)
+    third = length / 6
+    return F.when(d.isNull() | (d < 0) | (d > length / 2), None).when(d < third, "front").when(d < 2 * third, "mid").otherwise("back")
+
+
+def width_zone(x: Column, width: float = COURT_W) -> Column:
+    return F.when(x.isNull() | (x < 0) | (x > width), None).when(x < width / 3, "left").when(x < 2 * width / 3, "middle").otherwise("right")
+
+
+def zone9(depth: Column, width: Column) -> Column:
+    return F.when(depth.isNotNull() & width.isNotNull(), F.concat_ws("-", depth, width))
+
+
+def line_class(x: Column, divisor: float = 6.0, width: float = COURT_W) -> Column:
+    margin = width / divisor
+    return F.when(x.isNull(), None).when((x < margin) | (x > width - margin), "line").otherwise("centre")
+
+
+def plogp(n: Column, total: Column) -> Column:
+    p = ratio(n, total)
+    return F.when(n > 0, -p * F.ln(p)).otherwise(F.lit(0.0))
+
+
+def nearest_rank(values: Column, f: float) -> Column:
+    """sorted[round((n - 1) * f)], half to even."""
+    return F.element_at(values, (F.bround((F.size(values) - 1) * F.lit(f), 0).cast("int") + 1))
+
+
+def truncated_rank(values: Column, f: float) -> Column:
+    return F.element_at(values, (F.floor((F.size(values) - 1) * F.lit(f)).cast("int") + 1))
+
+
+def higher_rank(values: Column, f: float) -> Column:
+    return F.element_at(values, (F.ceil((F.size(values) - 1) * F.lit(f)).cast("int") + 1))
