@@ -107,13 +107,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents in training order, cut and repeated as planned.
 
     A row per reading of a document, with all columns of ``docs``; a document cut by
-    its source's target keeps its first words.
+    its source's target keeps its first words. Rows with one doc_id count once.
     """
-    plan = mix_sources(docs.dropDuplicates(["doc_id"]), **options)
-    reads = plan.select(F.col("doc_id").alias("_id"), "size", F.explode("passes").alias("p"))
-    rows = docs.join(reads, F.col("doc_id") == F.col("_id"))
-    cut = F.when(F.col("p.taken") < F.col("size"), F.expr("array_join(slice(split(trim(text), '[\\\\x20\\\\x09-\\\\x0D]+'), 1, int(p.taken)), ' ')")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut).withColumn("_position", F.col("p.position"))
+    plan = mix_sources(docs.dropDuplicates(["doc_id"]), **options).select("doc_id", "size", F.explode("passes").alias("p"))
+    reads = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("p.taken").alias("_taken"), F.col("p.position").alias("_position"))
+    rows = docs.dropDuplicates(["doc_id"]).join(reads, F.col("doc_id") == F.col("_id"))
+    first = F.array_join(F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_taken").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
