@@ -9,7 +9,9 @@ string is repeated when a neighbour in suffix order starts with the same bytes.
 
 Suffixes are sorted by linear grouping (see ``suffix_order``). A minimiser with more than
 MOST distinct segments (near copies of one passage in very many documents) is not brought
-together: its strings are counted by two independent 64-bit hashes instead, over all tasks.
+together: its segments are first cut anew by the minimisers of LONG_GRAM bytes, which
+leaves groups of strings that are nearly equal. Should one still be larger than MOST, its
+strings are counted by two independent 64-bit hashes instead, over all tasks.
 
 Null text is empty; a text shorter than ``width`` loses nothing. Equal rows are copies of
 each other. Rows are told apart by doc_id and text together, and other columns are not
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from rallyline.llm._base import BASE, CHUNK, Scratch, batches, load, mix, powers, prefix_hash, signed, utf8
 
 WIDTH = 200
-GRAM = 24
+GRAM = 64
+LONG_GRAM = 160
 #: Distinct segments of a minimiser that are sorted together.
 MOST = 1024
 PLACE = np.uint64((1 << 21) - 1)
@@ -45,10 +48,10 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, width: int):
+def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int = GRAM):
     """(text number, start, strings, minimiser, hash of the segment) of all segments, in arrays."""
     out = []
-    gram = min(GRAM, width)
+    gram = min(gram, width)
     end_of = np.repeat(offsets[1:], np.diff(offsets))
     for low in range(0, max(0, len(data) - width + 1), CHUNK):
         high = min(low + CHUNK, len(data) - width + 1)
@@ -113,8 +116,23 @@ def suffix_order(s: list[int]) -> list[int]:
     high = n - 1
     while high >= 0:
         low = group[order[high]]
+        if low == high:  # the commonest case, written out
+            i = order[low]
+            p = i - 1
+            while p >= 0 and group[p] >= low:
+                p = before[p]
+            before[i] = p
+            if p >= 0 and size[g := group[p]] > 1:
+                size[g] -= 1
+                end, at = g + size[g], place[p]
+                other = order[end]
+                order[at], place[other] = other, at
+                order[end], place[p] = p, end
+                group[p], size[end] = end, 1
+            high = low - 1
+            continue
         pointed: dict[int, int] = {}
-        for i in sorted(order[low : high + 1]) if low < high else (order[low],):
+        for i in sorted(order[low : high + 1]):
             p = i - 1
             while p >= 0 and group[p] >= low:
                 p = before[p]
@@ -223,6 +241,23 @@ def sorted_groups(width: int):
     return run
 
 
+def split_rows(width: int):
+    """Rows (h, c, key, start, bytes) cut anew by longer minimisers: (h, seg, c, key, start, bytes)."""
+
+    def run(iterator):
+        for batch in iterator:
+            raw = batch.column(4)
+            data, offsets = utf8(raw)
+            doc, start, n, h, seg = segments(data, offsets, width, LONG_GRAM)
+            old = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[doc]
+            c, key, first = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (1, 2, 3))
+            low = offsets[doc] + start
+            pieces = [data[a:b].tobytes() for a, b in zip(low.tolist(), (low + n - 1 + width).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(h + old))), pa.array(signed(seg)), pa.array(c), pa.array(key), pa.array(first + start), pa.array(pieces, pa.binary())], names=["h", "seg", "c", "key", "start", "bytes"])
+
+    return run
+
+
 def string_rows(width: int):
     """Rows (h, c, key, start, bytes) -> a row per string: its two hashes, c, key, place."""
 
@@ -252,9 +287,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     some = scratch.write(every.join(shared, "h", "left_semi"), "shared")
     scratch.drop(every)
-    scratch.release()
     kinds = some.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n")).alias("rep"))
     kinds = scratch.write(kinds.select("h", "seg", "c", "rep.key", "rep.start", "rep.n"), "kinds")
+    scratch.release()
     whole = some.join(kinds.filter("c > 1").select("h", "seg"), ["h", "seg"], "left_semi").select("key", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + width).alias("high"))
     open_groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 and least = 1").select("h", "kinds")
     wanted = kinds.join(open_groups, "h").select("h", "c", "key", "start", "n", "kinds")
@@ -262,14 +297,26 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     found = texts.join(wanted, "key").select("h", "c", "key", "start", raw.alias("bytes"), "kinds")
     found = scratch.write(found.dropDuplicates(["h", "key", "start"]), "bytes")
     scratch.release()
-    few = found.filter(F.col("kinds") <= MOST).drop("kinds").repartition("h").sortWithinPartitions("h")
+    columns = ["h", "c", "key", "start", "bytes"]
+    few = found.filter(F.col("kinds") <= MOST).select(columns)
+    many = found.filter(F.col("kinds") > MOST).select(columns)
+    finer = scratch.write(many.mapInArrow(split_rows(width), "h long, seg long, c long, key long, start long, bytes binary"), "finer")
+    totals = finer.groupBy("h", "seg").agg(F.sum("c").alias("t"))
+    open_finer = totals.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    finer = finer.join(totals, ["h", "seg"])
+    alike = finer.filter("c = 1 and t > 1").select("key", F.col("start").alias("low"), (F.col("start") + F.length("bytes")).alias("high"))
+    finer = finer.dropDuplicates(["h", "seg"]).join(open_finer.filter("kinds > 1"), "h").select("h", F.col("t").alias("c"), "key", "start", "bytes", "kinds")
+    few = few.unionByName(finer.filter(F.col("kinds") <= MOST).select(columns)).repartition("h").sortWithinPartitions("h")
     spans = few.mapInArrow(sorted_groups(width), "key long, low long, high long")
-    many = found.filter(F.col("kinds") > MOST).drop("kinds")
-    strings = many.mapInArrow(string_rows(width), "one long, two long, c long, key long, low long")
+    strings = finer.filter(F.col("kinds") > MOST).select(columns).mapInArrow(string_rows(width), "one long, two long, c long, key long, low long")
     counted = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
     rest = strings.filter("c = 1").join(counted, ["one", "two"], "left_semi").select("key", "low", (F.col("low") + width).alias("high"))
-    spans = whole.unionByName(spans).unionByName(rest)
-    return spans.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = whole.unionByName(alike).unionByName(spans).unionByName(rest)
+    spans = scratch.write(spans.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
+    for table in (some, kinds, found):
+        scratch.drop(table)
+    scratch.release()
+    return spans
 
 
 def union(spans) -> list[tuple[int, int]]:
@@ -308,7 +355,7 @@ def digest_rows(iterator):
 def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    spans = scratch.write(repeated_spans(docs, scratch, width), "spans")
+    spans = repeated_spans(docs, scratch, width)
     texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_key").alias("key"))
     rows = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
     return scratch.finish(rows.mapInArrow(digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
