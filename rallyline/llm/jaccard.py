@@ -44,6 +44,8 @@ FREQUENT = 32
 MAP_BITS = 1 << 22
 #: Documents searched with one query at a time.
 COLLECTION = 256
+#: Orders in which documents are first compared with the first of their lists.
+ROUNDS = 3
 FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,8 +101,8 @@ def class_rows(percent: int, width: int):
     return run
 
 
-def set_rows(percent: int, width: int, bits: bytes):
-    """doc_id, text -> doc_id, n, whole set by hash, first shingles with frequent ones last."""
+def first_rows(percent: int, width: int, bits: bytes):
+    """doc_id, text -> doc_id, n, first shingles with frequent ones last."""
     frequent = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
 
     def run(iterator):
@@ -109,8 +111,18 @@ def set_rows(percent: int, width: int, bits: bytes):
             first = []
             for s in sets:
                 late = frequent[(s % np.uint64(MAP_BITS)).astype(np.int64)]
-                first.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of(sets), lists_of(first)], names=["doc_id", "n", "members", "first"])
+                first.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)] if len(s) else s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of(first)], names=["doc_id", "n", "first"])
+
+    return run
+
+
+def set_rows(width: int):
+    """doc_id, text -> doc_id, whole set by hash."""
+
+    def run(iterator):
+        for batch in batches(iterator):
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(shingle_sets(batch.column(1), width))], names=["doc_id", "members"])
 
     return run
 
@@ -209,35 +221,47 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.write(texts.mapInArrow(class_rows(percent, width), "doc_id long, n long, one long, two long, first array<long>"), "rows")
-    full = rows.filter("n > 0 and doc_id is not null")
-    classes = scratch.write(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first")), "classes")
-    one_each = classes.select("rep", "n", F.explode("first").alias("h"))
-    lists = scratch.write(one_each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "lists")
+    every = scratch.write(texts.mapInArrow(class_rows(percent, width), "doc_id long, n long, one long, two long, first array<long>"), "every")
+    rows = scratch.write(every.select("doc_id", "n", "one", "two"), "rows")
+    classes = scratch.write(rows.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")), "classes")
+    lists = every.select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     bits = frequent_bits(lists)
-    suspects = one_each.join(lists.select("h"), "h", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    again = texts.join(suspects, "doc_id", "left_semi").mapInArrow(set_rows(percent, width, bits), "doc_id long, n long, members array<long>, first array<long>")
-    sets = scratch.write(again.dropDuplicates(["doc_id"]), "sets")
-    scratch.drop(lists)
+    scratch.drop(every)
+    scratch.release()
+    firsts = scratch.write(texts.mapInArrow(first_rows(percent, width, bits), "doc_id long, n long, first array<long>"), "firsts")
+    shared = firsts.select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    posts = firsts.select("doc_id", "n", F.posexplode("first").alias("pos", "h")).join(shared, "h", "left_semi")
+    posts = posts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    posts = scratch.write(posts, "posts")
+    scratch.drop(firsts)
+    scratch.release()
+    sets = scratch.write(texts.join(posts.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(set_rows(width), "doc_id long, members array<long>"), "sets")
     scratch.release()
-    posts = sets.select("doc_id", "n", F.posexplode("first").alias("pos", "h"))
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))))
-    heads = posts.groupBy("h", "band").agg(F.min(F.struct("doc_id", "n", "pos")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     can = (F.least("n", "n2") >= need) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= need)
-    star = posts.join(heads, ["h", "band"]).select("doc_id", "n", "pos", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"))
-    star = star.filter(F.col("doc_id") != F.col("a")).filter(can).select("a", F.col("doc_id").alias("b")).distinct()
-    star = scratch.write(star, "star")
-    links = scratch.write(verified(star, sets, percent), "links")
-    known = scratch.write(components(links, scratch), "known")
-    scratch.release()
-    named = posts.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    tried = known = None
+    named = posts.withColumn("component", F.col("doc_id"))
+    for k in range(ROUNDS):  # each with the documents that come first in another order
+        first = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("key"), "doc_id", "n", "pos", "component")
+        heads = named.groupBy("h", "band").agg(F.min(first).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        star = named.join(heads.select("h", "band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"), F.col("head.component").alias("c2")), ["h", "band"])
+        star = star.filter(F.col("component") != F.col("c2")).filter(can).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        star = scratch.write(star, "star")
+        links = scratch.write(verified(star, sets, percent), "links")
+        tried = star if tried is None else tried.unionByName(star)
+        links = links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        known = scratch.write(components(links, scratch), "known")
+        scratch.release()
+        named = posts.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
     named = scratch.write(named.join(mixed, "h", "left_semi").select("h", "doc_id", "n", "pos", "component"), "named")
     other = named.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"))
     rest = named.join(other, "h").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c2"))).filter(can)
     rest = rest.select(F.col("doc_id").alias("a"), "b").distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = rest.join(tried, ["a", "b"], "left_anti")
     more = scratch.write(verified(rest, sets, percent), "more")
     if not more.isEmpty():
         known = scratch.write(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch), "all")
