@@ -36,7 +36,7 @@ TOLERANCE = 1 / 64
 SHORTEST = 16
 END_ID = 1
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 #: A pretoken of its own that separates words encoded together.
 MARK = "\x00"
 
@@ -85,17 +85,15 @@ class WordIds:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown: dict[str, None] = {}
-        for ws in split:
-            for w in set(ws):
-                if w not in self.new:
-                    if (known := self.old.get(w)) is not None:
-                        self.new[w] = known
-                    else:
-                        unknown[w] = None
+        unknown = []
+        for w in set().union(*split).difference(self.new):
+            if (known := self.old.get(w)) is not None:
+                self.new[w] = known
+            else:
+                unknown.append(w)
         if unknown:
             kept = self.old
-            self._learn(list(unknown))
+            self._learn(unknown)
             if self.old is not kept:  # the generations changed: words of this call may be in either
                 merged = self.old | self.new
                 return [b"".join(map(merged.__getitem__, ws)) if all(w in merged for w in ws) else array("I", self._ids(" ".join(ws))).tobytes() for ws in split]
