@@ -14,8 +14,12 @@ a list with the first of its list (one pair a document, so a list of any length
 linear), then, across components only, the remaining pairs. No link between different
 components is lost, and no group is expanded into all its pairs.
 
-The frequent shingles are known to the tasks as a bit map of fixed size; its collisions
-change the order alike for all documents, so they cannot change the result.
+The frequent shingles are known to the tasks as a bit map of fixed size, made from counts
+of all shingles in as many buckets; its collisions change the order alike for all
+documents, so they cannot change the result. Each set also has a parity signature: every
+member flips one of 256 bits, so two sets differ in at least as many members as their
+signatures differ in bits. Pairs whose signatures differ too much are dropped by the joins
+themselves, before they become rows.
 
 Null or white text has an empty set and links with nothing; fewer words than a shingle
 count as one shingle of all words. Repeated rows form a class; a doc_id on several rows
@@ -38,10 +42,15 @@ from rallyline.llm._graph import components
 WIDTH = 5
 #: Similarity as a whole number of hundredths.
 PERCENT = 80
-#: A shingle in more lists' worth of documents than this is ordered last.
+#: A shingle whose bucket counts this many more than LOAD mean buckets is ordered last.
 FREQUENT = 32
-#: Bits of the map of frequent shingles.
-MAP_BITS = 1 << 22
+LOAD = 4
+#: Buckets of the counts, and bits of the map, of frequent shingles.
+MAP_BITS = 1 << 21
+#: Buckets in a row of counts.
+SLICE = 1 << 15
+#: Longs of a parity signature.
+LANES = 4
 #: Documents searched with one query at a time.
 COLLECTION = 256
 #: Orders in which documents are first compared with the first of their lists.
@@ -86,23 +95,60 @@ def lists_of(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts(np.array([len(s) for s in sets], np.int64)), pa.int32()), pa.array(flat))
 
 
-def class_rows(percent: int, width: int):
-    """doc_id, text -> doc_id, n, two sums that tell sets apart, first shingles by hash."""
+def signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """LANES longs for each set; each member flips one bit."""
+    out = np.zeros((LANES, len(sets)), np.uint64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    spot = (mix(flat ^ FOLD) % np.uint64(64 * LANES)).astype(np.int64)
+    at = starts(np.array([len(s) for s in sets], np.int64))
+    for i in range(len(sets)):
+        odd = (np.bincount(spot[at[i] : at[i + 1]], minlength=64 * LANES) & 1).astype(np.uint8)
+        out[:, i] = np.packbits(odd, bitorder="little").view(np.uint64)
+    return [signed(lane) for lane in out]
+
+
+def class_rows(width: int):
+    """doc_id, text -> doc_id, n, two sums that tell sets apart; at a task's end its counts of shingles by bucket.
+
+    A row of counts has a slice's number and SLICE counts of two bytes each; slices without any are left out.
+    """
+    names = ["doc_id", "n", "one", "two", "slice", "counts"]
 
     def run(iterator):
+        total = np.zeros(MAP_BITS, np.uint32)
         for batch in batches(iterator):
             sets = shingle_sets(batch.column(1), width)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            np.add.at(total, (flat % np.uint64(MAP_BITS)).astype(np.int64), 1)
             n = [len(s) for s in sets]
             one = signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64))
             two = signed(np.array([mix(s ^ FOLD).sum(dtype=np.uint64) for s in sets], np.uint64))
-            first = lists_of([s[: prefix_length(len(s), percent)] if len(s) else s for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two), first], names=["doc_id", "n", "one", "two", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        for k, part in enumerate(total.reshape(-1, SLICE)):
+            if part.any():
+                none = [pa.nulls(1, pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([*none, pa.array([k], pa.int32()), pa.array([np.minimum(part, 65535).astype("<u2").tobytes()], pa.binary())], names=names)
+
+    return run
+
+
+def slice_bits(least: float):
+    """slice, counts of all tasks -> slice, bits of the buckets with more than ``least``."""
+
+    def run(iterator):
+        total: dict[int, np.ndarray] = {}
+        for batch in iterator:
+            for k, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                part = total.setdefault(k, np.zeros(SLICE, np.int64))
+                part += np.frombuffer(counts, "<u2")
+        for k, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(part > least, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
 
     return run
 
 
 def first_rows(percent: int, width: int, bits: bytes):
-    """doc_id, text -> doc_id, n, first shingles with frequent ones last."""
+    """doc_id, text -> doc_id, n, first shingles with frequent ones last, signature."""
     frequent = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
 
     def run(iterator):
@@ -112,7 +158,8 @@ def first_rows(percent: int, width: int, bits: bytes):
             for s in sets:
                 late = frequent[(s % np.uint64(MAP_BITS)).astype(np.int64)]
                 first.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of(first)], names=["doc_id", "n", "first"])
+            lanes = [pa.array(lane) for lane in signatures(sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of(first), *lanes], names=["doc_id", "n", "first", *[f"s{k}" for k in range(LANES)]])
 
     return run
 
@@ -203,17 +250,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(search_rows(percent), "a long, b long")
 
 
-def frequent_bits(lists: DataFrame) -> bytes:
-    """The bit map of shingles in more than FREQUENT lists; its size is fixed.
-
-    Spark numbers bit positions from 1, in buckets of 4096 bytes.
-    """
-    bit = F.expr(f"pmod(cast(conv(hex(h), 16, 10) as decimal(20, 0)), {MAP_BITS})").cast("long") + 1
-    spots = lists.filter(F.col("c") > FREQUENT).select(bit.alias("bit"))
-    rows = spots.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+def frequent_bits(every: DataFrame) -> bytes:
+    """The bit map of frequent shingles, from the counts of all tasks; its size is fixed."""
+    total = every.agg(F.sum("n").alias("n")).first().n or 0
+    counts = every.filter("slice is not null").select("slice", "counts").repartition(MAP_BITS // SLICE, "slice")
+    rows = counts.mapInArrow(slice_bits(FREQUENT + LOAD * total / MAP_BITS), "slice int, bits binary").collect()
     out = bytearray(MAP_BITS // 8)
     for r in rows:
-        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+        out[r.slice * SLICE // 8 : (r.slice + 1) * SLICE // 8] = r.bits
     return bytes(out)
 
 
@@ -221,17 +265,16 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = scratch.write(texts.mapInArrow(class_rows(percent, width), "doc_id long, n long, one long, two long, first array<long>"), "every")
-    rows = scratch.write(every.select("doc_id", "n", "one", "two"), "rows")
+    every = scratch.write(texts.mapInArrow(class_rows(width), "doc_id long, n long, one long, two long, slice int, counts binary"), "every")
+    rows = every.filter("slice is null").select("doc_id", "n", "one", "two")
     classes = scratch.write(rows.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")), "classes")
-    lists = every.select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    bits = frequent_bits(lists)
-    scratch.drop(every)
+    bits = frequent_bits(every)
     scratch.release()
-    firsts = scratch.write(texts.mapInArrow(first_rows(percent, width, bits), "doc_id long, n long, first array<long>"), "firsts")
+    kept = texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    lanes = [f"s{k}" for k in range(LANES)]
+    firsts = scratch.write(kept.mapInArrow(first_rows(percent, width, bits), f"doc_id long, n long, first array<long>, {', '.join(f'{s} long' for s in lanes)}"), "firsts")
     shared = firsts.select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    posts = firsts.select("doc_id", "n", F.posexplode("first").alias("pos", "h")).join(shared, "h", "left_semi")
-    posts = posts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    posts = firsts.select("doc_id", "n", *lanes, F.posexplode("first").alias("pos", "h")).join(shared, "h", "left_semi")
     posts = scratch.write(posts, "posts")
     scratch.drop(firsts)
     scratch.release()
@@ -240,12 +283,14 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))))
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     can = (F.least("n", "n2") >= need) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= need)
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(LANES)), F.lit(0))
+    can &= differ <= F.col("n") + F.col("n2") - 2 * need
     tried = known = None
     named = posts.withColumn("component", F.col("doc_id"))
     for k in range(ROUNDS):  # each with the documents that come first in another order
-        first = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("key"), "doc_id", "n", "pos", "component")
+        first = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("key"), "doc_id", "n", "pos", "component", *lanes)
         heads = named.groupBy("h", "band").agg(F.min(first).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        star = named.join(heads.select("h", "band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"), F.col("head.component").alias("c2")), ["h", "band"])
+        star = named.join(heads.select("h", "band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"), F.col("head.component").alias("c2"), *[F.col(f"head.s{j}").alias(f"t{j}") for j in range(LANES)]), ["h", "band"])
         star = star.filter(F.col("component") != F.col("c2")).filter(can).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
         if tried is not None:
             star = star.join(tried, ["a", "b"], "left_anti")
@@ -257,8 +302,8 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
         scratch.release()
         named = posts.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
-    named = scratch.write(named.join(mixed, "h", "left_semi").select("h", "doc_id", "n", "pos", "component"), "named")
-    other = named.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"))
+    named = scratch.write(named.join(mixed, "h", "left_semi").select("h", "doc_id", "n", "pos", "component", *lanes), "named")
+    other = named.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), *[F.col(f"s{j}").alias(f"t{j}") for j in range(LANES)])
     rest = named.join(other, "h").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c2"))).filter(can)
     rest = rest.select(F.col("doc_id").alias("a"), "b").distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
