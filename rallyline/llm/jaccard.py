@@ -54,7 +54,7 @@ LANES = 4
 #: Documents searched with one query at a time.
 COLLECTION = 256
 #: Orders in which documents are first compared with the first of their lists.
-ROUNDS = 3
+ROUNDS = 2
 FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
