@@ -1,15 +1,17 @@
 """Language-model scores of documents by stupid backoff, computed relationally.
 
-Tables of word and bigram counts over all documents are partitioned by hash and joined to
-the documents' exploded bigrams. Each document is scored against all others: its own
-counts are taken off first. A word after another scores ln(c(a b) / c(a)) where other
-documents have the bigram, else ln(0.4 * c(b) / N), and ln(0.4 / N) where none has the
-word; a document's first word counts as unseen after its (missing) predecessor. A
-document's score is the mean over its words.
+Each document is scored against all others: its own counts are taken off first. A word
+after another scores ln(c(a b) / c(a)) where other documents have the bigram, else
+ln(0.4 * c(b) / N), and ln(0.4 / N) where none has the word; a document's first word
+counts as unseen after its (missing) predecessor. A document's score is the mean over its
+words.
 
-Bigrams are counted within a document before they are shuffled, so each document sends a
-bigram once. Counts of a frequent word are combined before the shuffle, and rows of a
-frequent word are split by adaptive skew joins.
+Documents are dealt by hash to blocks of about BLOCK bytes. A block's n-grams (of two, one
+and no words; the last gives N) are counted within the block and then over all, in tables
+partitioned by hash. So the most frequent n-gram has a row a block, not a row a document.
+Totals are joined back to the blocks that have the n-gram, but for n-grams of one block,
+whose totals it knows itself; there they meet the exploded n-grams of each document, whose
+own counts are taken off, and are summed by document.
 
 Null or white text has no words and a null score; equal texts are documents of their own
 and score each other's bigrams. Rows with one doc_id are scored as one document's parts.
@@ -20,54 +22,88 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyline.llm._base import Scratch, batches, load, mix, signed, starts, utf8, words
 
 ALPHA = 0.4
+#: Bytes of text in a block; bounds a worker's memory.
+BLOCK = 8 << 20
 FOLD = np.uint64(0xA24BAED4963EE407)
-GRAMS = "doc_id long, g long, a long, b long, n long, na long, nb long, size long"
-
-
-def gram_rows(iterator):
-    """doc_id, text -> a row per distinct bigram of a document, with the document's own counts."""
-    for batch in batches(iterator, 8 << 20):
-        data, offsets = utf8(batch.column(1))
-        hashes, counts = words(data, offsets)
-        at, ids = starts(counts), batch.column(0).to_numpy(zero_copy_only=False)
-        out: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for i, n in enumerate(counts.tolist()):
-            if not n:
+ONE = np.uint64(0x9FB21C651E98DF25)
+
+
+def grams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and bigrams (0 for a text's first word) at each position, the position's text, words a text."""
+    hashes, counts = words(*utf8(column))
+    heads = starts(counts)[:-1][counts > 0]
+    before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])[: len(hashes)]
+    two = mix(before * FOLD + hashes)
+    two[heads] = 0
+    return mix(hashes ^ ONE), two, np.repeat(np.arange(len(counts)), counts), counts
+
+
+def count_rows(iterator):
+    """block, text, sorted by block -> a row per n-gram of a block: block, g, n. The empty n-gram is 0."""
+    for batch in batches(iterator, BLOCK):
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
                 continue
-            w = hashes[at[i] : at[i + 1]]
-            _, where, often = np.unique(w, return_inverse=True, return_counts=True)
-            often = often[where]
-            a = np.concatenate([np.zeros(1, np.uint64), w[:-1]])
-            g, first, times = np.unique(mix(a * FOLD + w), return_index=True, return_counts=True)
-            na = np.concatenate([np.zeros(1, np.int64), often[:-1]])
-            for column, x in zip(out, (np.full(len(g), ids[i]), signed(g), signed(a[first]), signed(w[first]), times, na[first], often[first], np.full(len(g), n)), strict=True):
-                column.append(x)
-        names = [c.split()[0] for c in GRAMS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=names)
+            one, two, _, _ = grams_of(batch.column(1).slice(low, high - low))
+            g, n = np.unique(np.concatenate([one, two[two != 0]]), return_counts=True)
+            g, n = np.append(g, np.uint64(0)), np.append(n, len(one))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), blocks[low], np.int32)), pa.array(signed(g)), pa.array(n, pa.int64())], names=["block", "g", "n"])
+
+
+def block_scores(alpha: float):
+    """A block's documents and the totals of its n-grams -> doc_id, n_words, sum of scores."""
+
+    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        one, two, text, counts = grams_of(docs["text"])
+        every, place, often = np.unique(np.concatenate([one, two]), return_inverse=True, return_counts=True)
+        g = totals["g"].to_numpy().view(np.uint64)
+        order = np.argsort(g)
+        g, c = g[order], totals["c"].to_numpy()[order]
+
+        def total(keys, own):
+            if not len(g):
+                return own
+            at = np.minimum(np.searchsorted(g, keys), len(g) - 1)
+            return np.where(g[at] == keys, c[at], own)
+
+        size = total(np.zeros(1, np.uint64), np.array([len(one)]))[0] - counts
+        _, mine, n = np.unique(np.tile(text, 2) * len(every) + place, return_inverse=True, return_counts=True)
+        other = (total(every, often)[place] - n[mine]).astype(np.float64)
+        word, pair = other[: len(one)], other[len(one) :]
+        seen = (two != 0) & (pair > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            backed = np.log(alpha * np.maximum(word, 1) / np.maximum(size[text], 1))
+            score = np.where(seen, np.log(pair / np.concatenate([np.ones(1), word[:-1]])[: len(word)]), backed)
+        sums = np.bincount(text, weights=score, minlength=len(counts))
+        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(counts, pa.int64()), "total": pa.array(sums, pa.float64())})
+
+    return run
 
 
 def backoff_scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, score."""
     scratch = Scratch(docs.sparkSession, "scoring")
-    grams = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(gram_rows, GRAMS), "grams")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    pairs = grams.filter("a <> 0").groupBy("g").agg(F.sum("n").alias("c"))
-    single = grams.groupBy("b").agg(F.sum("n").alias("k")).withColumnRenamed("b", "key")
-    rows = grams.join(pairs, "g", "left")
-    seen = F.coalesce((F.col("a") != 0) & (F.col("c") > F.col("n")), F.lit(False))
-    rows = rows.select("doc_id", "size", "n", F.when(seen, F.col("c") - F.col("n")).alias("both"), F.when(seen, F.col("a")).otherwise(F.col("b")).alias("key"), F.when(seen, F.col("na")).otherwise(F.col("nb")).alias("own"))
-    rows = rows.join(single, "key").withColumn("k", F.col("k") - F.col("own"))
-    others = F.lit(float(total)) - F.col("size")
-    one = F.when(F.col("both").isNotNull(), F.ln(F.col("both") / F.col("k"))).otherwise(F.ln(F.lit(alpha) * F.greatest("k", F.lit(1)) / F.greatest(others, F.lit(1.0))))
-    scores = rows.groupBy("doc_id").agg(F.sum("n").alias("n_words"), (F.sum(one * F.col("n")) / F.sum("n")).alias("score"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0) // BLOCK))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    texts = scratch.write(texts.repartition("block").sortWithinPartitions("block"), "texts")
+    scratch.release()
+    same = Window.partitionBy("g")
+    grams = texts.select("block", "text").mapInArrow(count_rows, "block int, g long, n long")
+    totals = grams.select("block", "g", F.sum("n").over(same).alias("c"), F.count(F.lit(1)).over(same).alias("k")).filter("k > 1").select("block", "g", "c")
+    parts = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(block_scores(alpha), "doc_id long, n_words long, total double")
+    scores = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(scores, "doc_id", "left")
-    return scratch.finish(out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.round("score", 6).alias("score")))
+    score = F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n_words"), 6))
+    return scratch.finish(out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), score.alias("score")))
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
