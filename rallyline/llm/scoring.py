@@ -29,7 +29,7 @@ from rallyline.llm._base import Scratch, batches, load, mix, signed, starts, utf
 
 ALPHA = 0.4
 #: Bytes of text in a block; bounds a worker's memory.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 FOLD = np.uint64(0xA24BAED4963EE407)
 ONE = np.uint64(0x9FB21C651E98DF25)
 
@@ -45,9 +45,9 @@ def grams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_rows(iterator):
-    """block, text, sorted by block -> a row per n-gram of a block: block, g, n. The empty n-gram is 0."""
+    """doc_id, text, block, sorted by block -> a row per n-gram of a block: block, g, n. The empty n-gram is 0."""
     for batch in batches(iterator, BLOCK):
-        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        blocks = batch.column(2).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if low == high:
@@ -94,10 +94,9 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0) // BLOCK))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    texts = scratch.write(texts.repartition("block").sortWithinPartitions("block"), "texts")
-    scratch.release()
+    texts = texts.repartition(max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")  # one exchange, used twice
     same = Window.partitionBy("g")
-    grams = texts.select("block", "text").mapInArrow(count_rows, "block int, g long, n long")
+    grams = texts.sortWithinPartitions("block").mapInArrow(count_rows, "block int, g long, n long")
     totals = grams.select("block", "g", F.sum("n").over(same).alias("c"), F.count(F.lit(1)).over(same).alias("k")).filter("k > 1").select("block", "g", "c")
     parts = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(block_scores(alpha), "doc_id long, n_words long, total double")
     scores = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
