@@ -7,11 +7,14 @@ counts as unseen after its (missing) predecessor. A document's score is the mean
 words.
 
 Documents are dealt by hash to blocks of about BLOCK bytes. A block's n-grams (of two, one
-and no words; the last gives N) are counted within the block and then over all, in tables
-partitioned by hash. So the most frequent n-gram has a row a block, not a row a document.
-Totals are joined back to the blocks that have the n-gram, but for n-grams of one block,
-whose totals it knows itself; there they meet the exploded n-grams of each document, whose
-own counts are taken off, and are summed by document.
+and no words; the last gives N) are counted within the block and then over all, in count
+tables partitioned by hash: a row holds one block's n-grams and counts within one range of
+hashes (a bucket), so the most frequent n-gram has an entry a block, not a row a document.
+Within a row n-grams are sorted and stored as differences, byte plane by byte plane, which
+the shuffle's own compression shortens. A bucket answers each block with what the other
+blocks count, in the order of the block's own row, so that no n-gram travels back; rows
+without a count elsewhere are left out. There the totals meet the exploded n-grams of each
+document, whose own counts are taken off, and are summed by document.
 
 Null or white text has no words and a null score; equal texts are documents of their own
 and score each other's bigrams. Rows with one doc_id are scored as one document's parts.
@@ -22,10 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import Scratch, batches, load, mix, signed, starts, utf8, words
+from rallyline.llm._base import Scratch, load, mix, starts, utf8, words
 
 ALPHA = 0.4
 #: Bytes of text in a block; bounds a worker's memory.
@@ -44,40 +47,78 @@ def grams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return mix(hashes ^ ONE), two, np.repeat(np.arange(len(counts)), counts), counts
 
 
-def count_rows(iterator):
-    """doc_id, text, block, sorted by block -> a row per n-gram of a block: block, g, n. The empty n-gram is 0."""
-    for batch in batches(iterator, BLOCK):
-        blocks = batch.column(2).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if low == high:
-                continue
-            one, two, _, _ = grams_of(batch.column(1).slice(low, high - low))
-            g, n = np.unique(np.concatenate([one, two[two != 0]]), return_counts=True)
-            g, n = np.append(g, np.uint64(0)), np.append(n, len(one))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), blocks[low], np.int32)), pa.array(signed(g)), pa.array(n, pa.int64())], names=["block", "g", "n"])
-
-
-def block_scores(alpha: float):
-    """A block's documents and the totals of its n-grams -> doc_id, n_words, sum of scores."""
-
-    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        one, two, text, counts = grams_of(docs["text"])
-        every, place, often = np.unique(np.concatenate([one, two]), return_inverse=True, return_counts=True)
-        g = totals["g"].to_numpy().view(np.uint64)
-        order = np.argsort(g)
-        g, c = g[order], totals["c"].to_numpy()[order]
-
-        def total(keys, own):
-            if not len(g):
-                return own
-            at = np.minimum(np.searchsorted(g, keys), len(g) - 1)
-            return np.where(g[at] == keys, c[at], own)
-
-        size = total(np.zeros(1, np.uint64), np.array([len(one)]))[0] - counts
-        _, mine, n = np.unique(np.tile(text, 2) * len(every) + place, return_inverse=True, return_counts=True)
-        other = (total(every, often)[place] - n[mine]).astype(np.float64)
-        word, pair = other[: len(one)], other[len(one) :]
+def planes(values: np.ndarray) -> bytes:
+    """64-bit values as eight planes of bytes, lowest first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+
+
+def bucket_of(g: np.ndarray, bits: int) -> np.ndarray:
+    """The range of hashes, out of 2**bits (bits > 0), that each n-gram lies in."""
+    return (g >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def counted(column) -> tuple:
+    """A block's sorted n-grams and counts, the place among them of each word and then each bigram, and ``grams_of``.
+
+    The empty n-gram is 0, the first, and counts all words; a text's first word has it for a bigram.
+    """
+    one, two, text, counts = grams_of(column)
+    g, place, n = np.unique(np.concatenate([one, two]), return_inverse=True, return_counts=True)
+    if len(g):
+        n[0] = len(one)
+    return g, n, place, one, two, text, counts
+
+
+def count_rows(bits: int):
+    """A block's documents -> block, bucket, differences of its n-grams there, their counts."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        g, n, *_ = counted(docs["text"])
+        cuts = np.searchsorted(bucket_of(g, bits), np.arange((1 << bits) + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        parts = [(g[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]) for k in some]
+        return pa.table({
+            "block": pa.array(np.full(len(some), docs["block"][0].as_py(), np.int32)),
+            "bucket": pa.array(some, pa.int32()),
+            "grams": pa.array([planes(np.diff(x, prepend=np.uint64(0))) for x, _ in parts], pa.binary()),
+            "n": pa.array([planes(x) for _, x in parts], pa.binary()),
+        })
+
+    return run
+
+
+def other_rows(rows: pa.Table) -> pa.Table:
+    """A bucket's rows of all blocks -> block, bucket, counts of the other blocks in the order of the block's row."""
+    grams = [np.cumsum(unplaned(x.as_py()), dtype=np.uint64) for x in rows["grams"]]
+    n = [unplaned(x.as_py()).astype(np.int64) for x in rows["n"]]
+    every, place = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, place, np.concatenate(n))
+    at = starts(np.array([len(x) for x in grams], np.int64))
+    other = [total[place[a:b]] - x for a, b, x in zip(at[:-1], at[1:], n, strict=True)]
+    some = np.array([bool(x.any()) for x in other])
+    out = rows.select(["block", "bucket"]).filter(pa.array(some))
+    return out.append_column("other", pa.array([planes(x) for x, yes in zip(other, some, strict=True) if yes], pa.binary()))
+
+
+def block_scores(alpha: float, bits: int):
+    """A block's documents and the other blocks' counts -> doc_id, n_words, sum of scores."""
+
+    def run(docs: pa.Table, others: pa.Table) -> pa.Table:
+        g, n, place, one, two, text, counts = counted(docs["text"])
+        total = n.astype(np.int64)
+        bucket = bucket_of(g, bits)
+        for k, other in zip(others["bucket"].to_pylist(), others["other"], strict=True):
+            low, high = np.searchsorted(bucket, [k, k + 1])
+            total[low:high] += unplaned(other.as_py()).astype(np.int64)
+        size = (total[0] if len(g) else 0) - counts
+        _, mine, often = np.unique(np.tile(text, 2) * len(g) + place, return_inverse=True, return_counts=True)
+        rest = (total[place] - often[mine]).astype(np.float64)
+        word, pair = rest[: len(one)], rest[len(one) :]
         seen = (two != 0) & (pair > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             backed = np.log(alpha * np.maximum(word, 1) / np.maximum(size[text], 1))
@@ -95,10 +136,10 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     blocks = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0) // BLOCK))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     texts = texts.repartition(max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")  # one exchange, used twice
-    same = Window.partitionBy("g")
-    grams = texts.sortWithinPartitions("block").mapInArrow(count_rows, "block int, g long, n long")
-    totals = grams.select("block", "g", F.sum("n").over(same).alias("c"), F.count(F.lit(1)).over(same).alias("k")).filter("k > 1").select("block", "g", "c")
-    parts = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(block_scores(alpha), "doc_id long, n_words long, total double")
+    bits = max(6, (4 * blocks - 1).bit_length())
+    grams = texts.groupBy("block").applyInArrow(count_rows(bits), "block int, bucket int, grams binary, n binary")
+    others = grams.groupBy("bucket").applyInArrow(other_rows, "block int, bucket int, other binary")
+    parts = texts.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(block_scores(alpha, bits), "doc_id long, n_words long, total double")
     scores = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(scores, "doc_id", "left")
     score = F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n_words"), 6))
