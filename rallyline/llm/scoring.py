@@ -32,7 +32,9 @@ from rallyline.llm._base import Scratch, load, mix, starts, utf8, words
 
 ALPHA = 0.4
 #: Bytes of text in a block; bounds a worker's memory.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Words scored at once, but for a longer document, which is scored whole.
+WORDS = 1 << 18
 FOLD = np.uint64(0xA24BAED4963EE407)
 ONE = np.uint64(0x9FB21C651E98DF25)
 
@@ -61,23 +63,23 @@ def bucket_of(g: np.ndarray, bits: int) -> np.ndarray:
     return (g >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counted(column) -> tuple:
-    """A block's sorted n-grams and counts, the place among them of each word and then each bigram, and ``grams_of``.
+def counted(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's sorted n-grams and their counts.
 
     The empty n-gram is 0, the first, and counts all words; a text's first word has it for a bigram.
     """
-    one, two, text, counts = grams_of(column)
-    g, place, n = np.unique(np.concatenate([one, two]), return_inverse=True, return_counts=True)
+    g, n = np.unique(np.concatenate([one, two]), return_counts=True)
     if len(g):
         n[0] = len(one)
-    return g, n, place, one, two, text, counts
+    return g, n
 
 
 def count_rows(bits: int):
     """A block's documents -> block, bucket, differences of its n-grams there, their counts."""
 
     def run(docs: pa.Table) -> pa.Table:
-        g, n, *_ = counted(docs["text"])
+        one, two, _, _ = grams_of(docs["text"])
+        g, n = counted(one, two)
         cuts = np.searchsorted(bucket_of(g, bits), np.arange((1 << bits) + 1))
         some = np.flatnonzero(np.diff(cuts))
         parts = [(g[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]) for k in some]
@@ -105,25 +107,36 @@ def other_rows(rows: pa.Table) -> pa.Table:
     return out.append_column("other", pa.array([planes(x) for x, yes in zip(other, some, strict=True) if yes], pa.binary()))
 
 
+def run_scores(alpha: float, g: np.ndarray, total: np.ndarray, one: np.ndarray, two: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of scores of some of a block's documents; ``size`` counts the words that others have."""
+    place = np.searchsorted(g, np.concatenate([one, two]))
+    _, mine, often = np.unique(np.tile(text, 2) * len(g) + place, return_inverse=True, return_counts=True)
+    rest = (total[place] - often[mine]).astype(np.float64)
+    word, pair = rest[: len(one)], rest[len(one) :]
+    seen = (two != 0) & (pair > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        backed = np.log(alpha * np.maximum(word, 1) / np.maximum(size[text], 1))
+        score = np.where(seen, np.log(pair / np.concatenate([np.ones(1), word[:-1]])[: len(word)]), backed)
+    return np.bincount(text, weights=score, minlength=len(size))
+
+
 def block_scores(alpha: float, bits: int):
     """A block's documents and the other blocks' counts -> doc_id, n_words, sum of scores."""
 
     def run(docs: pa.Table, others: pa.Table) -> pa.Table:
-        g, n, place, one, two, text, counts = counted(docs["text"])
-        total = n.astype(np.int64)
-        bucket = bucket_of(g, bits)
+        one, two, text, counts = grams_of(docs["text"])
+        g, total = counted(one, two)
+        cuts = np.searchsorted(g, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(g)]
         for k, other in zip(others["bucket"].to_pylist(), others["other"], strict=True):
-            low, high = np.searchsorted(bucket, [k, k + 1])
+            low, high = cuts[k : k + 2]
             total[low:high] += unplaned(other.as_py()).astype(np.int64)
         size = (total[0] if len(g) else 0) - counts
-        _, mine, often = np.unique(np.tile(text, 2) * len(g) + place, return_inverse=True, return_counts=True)
-        rest = (total[place] - often[mine]).astype(np.float64)
-        word, pair = rest[: len(one)], rest[len(one) :]
-        seen = (two != 0) & (pair > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            backed = np.log(alpha * np.maximum(word, 1) / np.maximum(size[text], 1))
-            score = np.where(seen, np.log(pair / np.concatenate([np.ones(1), word[:-1]])[: len(word)]), backed)
-        sums = np.bincount(text, weights=score, minlength=len(counts))
+        at, low, sums = starts(counts), 0, np.zeros(len(counts))
+        while low < len(counts):
+            high = max(low + 1, int(np.searchsorted(at, at[low] + WORDS, "right")) - 1)
+            here = slice(at[low], at[high])
+            sums[low:high] = run_scores(alpha, g, total, one[here], two[here], text[here] - low, size[low:high])
+            low = high
         return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(counts, pa.int64()), "total": pa.array(sums, pa.float64())})
 
     return run
