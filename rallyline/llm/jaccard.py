@@ -14,6 +14,13 @@ a list with the first of its list (one pair a document, so a list of any length
 linear), then, across components only, the remaining pairs. No link between different
 components is lost, and no group is expanded into all its pairs.
 
+Which of the first shingles other documents have too is found packed: documents are put in
+batches, and each batch sends its shingles, sorted and stored as differences by byte planes,
+to as many ranges of hashes; a range answers each batch with a bit a shingle. Only shared
+shingles become rows. Whole sets are made of those documents only that are in a pair to be
+verified; their texts are found by a broadcast of their numbers up to a documented size, and
+by a shuffled semi-join beyond it.
+
 The frequent shingles are known to the tasks as a bit map of fixed size, made from counts
 of all shingles in as many buckets; its collisions change the order alike for all
 documents, so they cannot change the result. Each set also has a parity signature: every
@@ -33,10 +40,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import Scratch, batches, load, mix, signed, starts, utf8, words
+from rallyline.llm._base import Scratch, batches, bucket_of, load, mix, planes, signed, starts, unplaned, utf8, words
 from rallyline.llm._graph import components
 
 WIDTH = 5
@@ -53,6 +61,10 @@ SLICE = 1 << 15
 LANES = 4
 #: Documents searched with one query at a time.
 COLLECTION = 256
+#: First shingles in a batch, and batches' shingles in a range of hashes, about.
+GRAMS = 1 << 18
+#: So many doc_ids at most are broadcast to find their texts (8 MB of numbers).
+NAMED = 1 << 20
 #: Orders in which documents are first compared with the first of their lists.
 ROUNDS = 2
 FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -164,6 +176,114 @@ def first_rows(percent: int, width: int, bits: bytes):
     return run
 
 
+def pack_rows(iterator):
+    """Rows of ``first_rows`` -> batches of about GRAMS first shingles, a row each, numbered by task."""
+    k = TaskContext.get().partitionId() << 32
+    held, grams = [], 0
+    for batch in iterator:
+        sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        low = 0
+        while low < batch.num_rows:
+            room = np.cumsum(sizes[low:]) + grams
+            high = low + int(np.searchsorted(room, GRAMS)) + 1  # with the row that fills the batch
+            held.append(batch.slice(low, high - low))
+            grams = int(room[min(high, batch.num_rows) - low - 1])
+            low = min(high, batch.num_rows)
+            if grams >= GRAMS:
+                yield packed(k, held)
+                k, held, grams = k + 1, [], 0
+    if held:
+        yield packed(k, held)
+
+
+def packed(k: int, held: list) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).combine_chunks()
+    first = table["first"].combine_chunks()
+    sizes = first.value_lengths().cast(pa.int64())
+    columns = {"doc_id": table["doc_id"], "n": table["n"], "size": sizes, "first": first.flatten(), **{f"s{j}": table[f"s{j}"] for j in range(LANES)}}
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *lists], names=["batch", *columns])
+
+
+PACKED = "batch long, doc_id array<long>, n array<long>, size array<long>, first array<long>, " + ", ".join(f"s{j} array<long>" for j in range(LANES))
+
+
+def range_rows(bits: int):
+    """batch, first shingles -> batch, bucket, differences of its distinct shingles there, a bit where the batch has it twice."""
+
+    def run(iterator):
+        for batch in iterator:
+            for k, first in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, n = np.unique(first.values.to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
+                cuts = np.searchsorted(bucket_of(h, bits), np.arange((1 << bits) + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                spans = [slice(cuts[i], cuts[i + 1]) for i in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(some), k), pa.int64()),
+                        pa.array(some, pa.int32()),
+                        pa.array([planes(np.diff(h[x], prepend=np.uint64(0))) for x in spans], pa.binary()),
+                        pa.array([np.packbits(n[x] > 1).tobytes() for x in spans], pa.binary()),
+                    ],
+                    names=["batch", "bucket", "grams", "twice"],
+                )
+
+    return run
+
+
+def shared_rows(rows: pa.Table) -> pa.Table:
+    """A bucket's rows of all batches -> batch, bucket, a bit for each shingle of the row that two documents have."""
+    grams = [np.cumsum(unplaned(x.as_py()), dtype=np.uint64) for x in rows["grams"]]
+    sizes = [len(x) for x in grams]
+    twice = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(rows["twice"], sizes, strict=True)]
+    every, place = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(place, minlength=len(every))
+    total[place[np.concatenate(twice).astype(bool)]] += 1
+    shared = total[place] > 1
+    at = starts(np.array(sizes, np.int64))
+    masks = [shared[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    some = np.array([bool(x.any()) for x in masks])
+    out = rows.select(["batch", "bucket"]).filter(pa.array(some))
+    return out.append_column("mask", pa.array([np.packbits(x).tobytes() for x, yes in zip(masks, some, strict=True) if yes], pa.binary()))
+
+
+def post_rows(bits: int):
+    """A batch and its answers -> doc_id, n, signature, pos, h of its shared shingles."""
+
+    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {name: batch[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in batch.column_names if name != "batch"}
+        flat, sizes = row["first"].view(np.uint64), row["size"]
+        h, place = np.unique(flat, return_inverse=True)
+        cuts = np.searchsorted(bucket_of(h, bits), np.arange((1 << bits) + 1))
+        shared = np.zeros(len(h), bool)
+        for k, mask in zip(answers["bucket"].to_pylist(), answers["mask"], strict=True):
+            low, high = cuts[k], cuts[k + 1]
+            shared[low:high] = np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=high - low)
+        at = np.flatnonzero(shared[place])
+        doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+        pos = (at - starts(sizes)[doc]).astype(np.int32)
+        lanes = {f"s{j}": row[f"s{j}"][doc] for j in range(LANES)}
+        return pa.table({"doc_id": row["doc_id"][doc], "n": row["n"][doc], **lanes, "pos": pos, "h": row["first"][at]})
+
+    return run
+
+
+def shared_posts(firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (doc_id, n, signature, pos, h) of the first shingles that two documents or more have."""
+    packs = scratch.write(firsts.mapInArrow(pack_rows, PACKED), "packs")
+    scratch.release()
+    grams = packs.agg(F.sum(F.size("first").cast("long")).alias("n")).first().n or 0
+    bits = max(6, (4 * grams // GRAMS).bit_length())
+    ranges = packs.select("batch", "first").mapInArrow(range_rows(bits), "batch long, bucket int, grams binary, twice binary")
+    answers = ranges.groupBy("bucket").applyInArrow(shared_rows, "batch long, bucket int, mask binary")
+    lanes = ", ".join(f"s{j} long" for j in range(LANES))
+    posts = packs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(post_rows(bits), f"doc_id long, n long, {lanes}, pos int, h long")
+    posts = scratch.write(posts, "posts")
+    scratch.drop(packs)
+    scratch.release()
+    return posts
+
+
 def set_rows(width: int):
     """doc_id, text -> doc_id, whole set by hash."""
 
@@ -240,14 +360,25 @@ def search_rows(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar; a's set goes to every part of its partners."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    asked = pairs.select(F.col("a").alias("q"), "part").distinct()
-    own = asked.join(sets.select(F.col("doc_id").alias("q"), "members"), "q").select("q", "part", F.lit(0).alias("role"), F.col("q").alias("doc"), "members")
-    other = pairs.join(sets.select(F.col("doc_id").alias("b"), "members"), "b").select(F.col("a").alias("q"), "part", F.lit(1).alias("role"), F.col("b").alias("doc"), "members")
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs (q, b) that are similar, as links (a, b).
+
+    q's set meets those of its partners b, in parts of about COLLECTION partners, so that it
+    travels once a part. Whole sets are made of the documents in the pairs only.
+    """
+    ids = pairs.select(F.explode(F.array("q", "b")).alias("doc_id")).distinct()
+    ids = scratch.write(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= NAMED else ids
+    sets = scratch.write(texts.join(ids, "doc_id", "left_semi").mapInArrow(set_rows(width), "doc_id long, members array<long>"), "sets")
+    many = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / COLLECTION).alias("parts")).filter("parts > 1")
+    pairs = pairs.join(many, "q", "left").select("q", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    own = pairs.select("q", "part").distinct().join(sets.withColumnRenamed("doc_id", "q"), "q").select("q", "part", F.lit(0).alias("role"), F.col("q").alias("doc"), "members")
+    other = pairs.join(sets.withColumnRenamed("doc_id", "b"), "b").select("q", "part", F.lit(1).alias("role"), F.col("b").alias("doc"), "members")
     rows = own.unionByName(other).repartition("q", "part").sortWithinPartitions("q", "part", "role")
-    return rows.mapInArrow(search_rows(percent), "a long, b long")
+    links = scratch.write(rows.mapInArrow(search_rows(percent), "a long, b long"), "links")
+    scratch.drop(sets)
+    scratch.release()
+    return links
 
 
 def frequent_bits(every: DataFrame) -> bytes:
@@ -270,16 +401,9 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     classes = scratch.write(rows.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")), "classes")
     bits = frequent_bits(every)
     scratch.release()
-    kept = texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     lanes = [f"s{k}" for k in range(LANES)]
-    firsts = scratch.write(kept.mapInArrow(first_rows(percent, width, bits), f"doc_id long, n long, first array<long>, {', '.join(f'{s} long' for s in lanes)}"), "firsts")
-    shared = firsts.select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    posts = firsts.select("doc_id", "n", *lanes, F.posexplode("first").alias("pos", "h")).join(shared, "h", "left_semi")
-    posts = scratch.write(posts, "posts")
-    scratch.drop(firsts)
-    scratch.release()
-    sets = scratch.write(texts.join(posts.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(set_rows(width), "doc_id long, members array<long>"), "sets")
-    scratch.release()
+    firsts = texts.mapInArrow(first_rows(percent, width, bits), f"doc_id long, n long, first array<long>, {', '.join(f'{s} long' for s in lanes)}")
+    posts = shared_posts(firsts.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), scratch)
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))))
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     can = (F.least("n", "n2") >= need) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= need)
@@ -291,11 +415,13 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
         first = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("key"), "doc_id", "n", "pos", "component", *lanes)
         heads = named.groupBy("h", "band").agg(F.min(first).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         star = named.join(heads.select("h", "band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"), F.col("head.component").alias("c2"), *[F.col(f"head.s{j}").alias(f"t{j}") for j in range(LANES)]), ["h", "band"])
-        star = star.filter(F.col("component") != F.col("c2")).filter(can).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+        star = star.filter(F.col("component") != F.col("c2")).filter(can).select(F.col("a").alias("q"), F.col("doc_id").alias("b"))
+        star = star.groupBy(F.least("q", "b").alias("low"), F.greatest("q", "b").alias("high")).agg(F.min(F.struct("q", "b")).alias("pair")).select("low", "high", "pair.q", "pair.b")
         if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
+            star = star.join(tried, ["low", "high"], "left_anti")
         star = scratch.write(star, "star")
-        links = scratch.write(verified(star, sets, percent), "links")
+        links = verified(star.select("q", "b"), texts, percent, width, scratch)
+        star = star.select("low", "high")
         tried = star if tried is None else tried.unionByName(star)
         links = links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
         known = scratch.write(components(links, scratch), "known")
@@ -305,9 +431,9 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     named = scratch.write(named.join(mixed, "h", "left_semi").select("h", "doc_id", "n", "pos", "component", *lanes), "named")
     other = named.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), *[F.col(f"s{j}").alias(f"t{j}") for j in range(LANES)])
     rest = named.join(other, "h").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c2"))).filter(can)
-    rest = rest.select(F.col("doc_id").alias("a"), "b").distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = scratch.write(verified(rest, sets, percent), "more")
+    rest = rest.select(F.col("doc_id").alias("low"), F.col("b").alias("high")).distinct().join(tried, ["low", "high"], "left_anti")
+    rest = scratch.write(rest.select(F.col("low").alias("q"), F.col("high").alias("b")), "rest")
+    more = verified(rest, texts, percent, width, scratch)
     if not more.isEmpty():
         known = scratch.write(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch), "all")
     by_class = classes.select("n", "one", "two", "rep").join(known.select(F.col("node").alias("rep"), F.col("component").alias("found")), "rep", "left")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import Scratch, load, mix, starts, utf8, words
+from rallyline.llm._base import Scratch, bucket_of, load, mix, planes, starts, unplaned, utf8, words
 
 ALPHA = 0.4
 #: Bytes of text in a block; bounds a worker's memory.
@@ -49,20 +49,6 @@ def grams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return mix(hashes ^ ONE), two, np.repeat(np.arange(len(counts)), counts), counts
 
 
-def planes(values: np.ndarray) -> bytes:
-    """64-bit values as eight planes of bytes, lowest first."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
-
-
-def bucket_of(g: np.ndarray, bits: int) -> np.ndarray:
-    """The range of hashes, out of 2**bits (bits > 0), that each n-gram lies in."""
-    return (g >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def counted(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's sorted n-grams and their counts.
 
