@@ -23,10 +23,12 @@ by a shuffled semi-join beyond it.
 
 The frequent shingles are known to the tasks as a bit map of fixed size, made from counts
 of all shingles in as many buckets; its collisions change the order alike for all
-documents, so they cannot change the result. Each set also has a parity signature: every
-member flips one of 256 bits, so two sets differ in at least as many members as their
-signatures differ in bits. Pairs whose signatures differ too much are dropped by the joins
-themselves, before they become rows.
+documents, so they cannot change the result. Each set also has a parity sketch: every member
+flips one of m bits, m being the next power of two to its size, 256 at least, so two sets
+differ in at least as many members as their sketches differ in bits. A sketch folds to any
+smaller power of two. Folded to 256 bits (the signature) it drops pairs within the joins,
+before they become rows; at full length, a fortieth of the sets, it drops most of the rest
+before whole sets are moved. Neither drops a similar pair.
 
 Null or white text has an empty set and links with nothing; fewer words than a shingle
 count as one shingle of all words. Repeated rows form a class; a doc_id on several rows
@@ -107,16 +109,15 @@ def lists_of(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts(np.array([len(s) for s in sets], np.int64)), pa.int32()), pa.array(flat))
 
 
-def signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """LANES longs for each set; each member flips one bit."""
-    out = np.zeros((LANES, len(sets)), np.uint64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    spot = (mix(flat ^ FOLD) % np.uint64(64 * LANES)).astype(np.int64)
-    at = starts(np.array([len(s) for s in sets], np.int64))
-    for i in range(len(sets)):
-        odd = (np.bincount(spot[at[i] : at[i + 1]], minlength=64 * LANES) & 1).astype(np.uint8)
-        out[:, i] = np.packbits(odd, bitorder="little").view(np.uint64)
-    return [signed(lane) for lane in out]
+def sketch_of(members: np.ndarray) -> np.ndarray:
+    """Longs of a set's parity sketch; each member flips one bit."""
+    bits = max(64 * LANES, 1 << max(0, len(members) - 1).bit_length())
+    spot = (mix(members ^ FOLD) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, longs), axis=0)
 
 
 def class_rows(width: int):
@@ -160,7 +161,7 @@ def slice_bits(least: float):
 
 
 def first_rows(percent: int, width: int, bits: bytes):
-    """doc_id, text -> doc_id, n, first shingles with frequent ones last, signature."""
+    """doc_id, text -> doc_id, n, first shingles with frequent ones last, sketch, signature."""
     frequent = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
 
     def run(iterator):
@@ -170,8 +171,11 @@ def first_rows(percent: int, width: int, bits: bytes):
             for s in sets:
                 late = frequent[(s % np.uint64(MAP_BITS)).astype(np.int64)]
                 first.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)] if len(s) else s)
-            lanes = [pa.array(lane) for lane in signatures(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of(first), *lanes], names=["doc_id", "n", "first", *[f"s{k}" for k in range(LANES)]])
+            sketches = [sketch_of(x) for x in sets]
+            short = np.array([folded(x, LANES) for x in sketches], np.uint64).reshape(-1, LANES)
+            lanes = [pa.array(signed(np.ascontiguousarray(short[:, k]))) for k in range(LANES)]
+            full = pa.array([x.tobytes() for x in sketches], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), lists_of(first), full, *lanes], names=["doc_id", "n", "first", "sketch", *[f"s{k}" for k in range(LANES)]])
 
     return run
 
@@ -200,12 +204,12 @@ def packed(k: int, held: list) -> pa.RecordBatch:
     table = pa.Table.from_batches(held).combine_chunks()
     first = table["first"].combine_chunks()
     sizes = first.value_lengths().cast(pa.int64())
-    columns = {"doc_id": table["doc_id"], "n": table["n"], "size": sizes, "first": first.flatten(), **{f"s{j}": table[f"s{j}"] for j in range(LANES)}}
+    columns = {"doc_id": table["doc_id"], "n": table["n"], "size": sizes, "first": first.flatten(), "sketch": table["sketch"], **{f"s{j}": table[f"s{j}"] for j in range(LANES)}}
     lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in columns.values()]
     return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *lists], names=["batch", *columns])
 
 
-PACKED = "batch long, doc_id array<long>, n array<long>, size array<long>, first array<long>, " + ", ".join(f"s{j} array<long>" for j in range(LANES))
+PACKED = "batch long, doc_id array<long>, n array<long>, size array<long>, first array<long>, sketch array<binary>, " + ", ".join(f"s{j} array<long>" for j in range(LANES))
 
 
 def range_rows(bits: int):
@@ -251,7 +255,7 @@ def post_rows(bits: int):
     """A batch and its answers -> doc_id, n, signature, pos, h of its shared shingles."""
 
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {name: batch[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in batch.column_names if name != "batch"}
+        row = {name: batch[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in batch.column_names if name not in ("batch", "sketch")}
         flat, sizes = row["first"].view(np.uint64), row["size"]
         h, place = np.unique(flat, return_inverse=True)
         cuts = np.searchsorted(bucket_of(h, bits), np.arange((1 << bits) + 1))
@@ -268,8 +272,8 @@ def post_rows(bits: int):
     return run
 
 
-def shared_posts(firsts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (doc_id, n, signature, pos, h) of the first shingles that two documents or more have."""
+def shared_posts(firsts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, signature, pos, h) of the first shingles that two documents or more have; rows (doc_id, n, sketch)."""
     packs = scratch.write(firsts.mapInArrow(pack_rows, PACKED), "packs")
     scratch.release()
     grams = packs.agg(F.sum(F.size("first").cast("long")).alias("n")).first().n or 0
@@ -277,11 +281,12 @@ def shared_posts(firsts: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = packs.select("batch", "first").mapInArrow(range_rows(bits), "batch long, bucket int, grams binary, twice binary")
     answers = ranges.groupBy("bucket").applyInArrow(shared_rows, "batch long, bucket int, mask binary")
     lanes = ", ".join(f"s{j} long" for j in range(LANES))
-    posts = packs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(post_rows(bits), f"doc_id long, n long, {lanes}, pos int, h long")
+    sketches = scratch.write(packs.select(F.explode(F.arrays_zip("doc_id", "n", "sketch")).alias("x")).select("x.*"), "sketches")
+    posts = packs.drop("sketch").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(post_rows(bits), f"doc_id long, n long, {lanes}, pos int, h long")
     posts = scratch.write(posts, "posts")
     scratch.drop(packs)
     scratch.release()
-    return posts
+    return posts, sketches
 
 
 def set_rows(width: int):
@@ -360,12 +365,32 @@ def search_rows(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+def close_rows(percent: int):
+    """q, b, their sizes and sketches -> the pairs whose sketches don't differ too much."""
+
+    def run(iterator):
+        for batch in iterator:
+            kept = []
+            for m, n, x, y in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                longs = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum())
+                kept.append(differ <= m + n - 2 * needed(m, n, percent))
+            yield batch.select(["q", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """The pairs (q, b) that are similar, as links (a, b).
 
-    q's set meets those of its partners b, in parts of about COLLECTION partners, so that it
-    travels once a part. Whole sets are made of the documents in the pairs only.
+    Pairs whose sketches differ too much go first. Then q's set meets those of its partners
+    b, in parts of about COLLECTION partners, so that it travels once a part. Whole sets are
+    made of the documents in these pairs only.
     """
+    pairs = pairs.join(sketches.toDF("q", "m", "x"), "q").join(sketches.toDF("b", "n", "y"), "b").select("q", "b", "m", "n", "x", "y")
+    pairs = scratch.write(pairs.mapInArrow(close_rows(percent), "q long, b long").distinct(), "close")
+    scratch.release()
     ids = pairs.select(F.explode(F.array("q", "b")).alias("doc_id")).distinct()
     ids = scratch.write(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= NAMED else ids
@@ -402,8 +427,8 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     bits = frequent_bits(every)
     scratch.release()
     lanes = [f"s{k}" for k in range(LANES)]
-    firsts = texts.mapInArrow(first_rows(percent, width, bits), f"doc_id long, n long, first array<long>, {', '.join(f'{s} long' for s in lanes)}")
-    posts = shared_posts(firsts.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), scratch)
+    firsts = texts.mapInArrow(first_rows(percent, width, bits), f"doc_id long, n long, first array<long>, sketch binary, {', '.join(f'{s} long' for s in lanes)}")
+    posts, sketches = shared_posts(firsts.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), scratch)
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))))
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     can = (F.least("n", "n2") >= need) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= need)
@@ -420,7 +445,7 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
         if tried is not None:
             star = star.join(tried, ["low", "high"], "left_anti")
         star = scratch.write(star, "star")
-        links = verified(star.select("q", "b"), texts, percent, width, scratch)
+        links = verified(star.select("q", "b"), texts, sketches, percent, width, scratch)
         star = star.select("low", "high")
         tried = star if tried is None else tried.unionByName(star)
         links = links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -433,7 +458,7 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     rest = named.join(other, "h").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c2"))).filter(can)
     rest = rest.select(F.col("doc_id").alias("low"), F.col("b").alias("high")).distinct().join(tried, ["low", "high"], "left_anti")
     rest = scratch.write(rest.select(F.col("low").alias("q"), F.col("high").alias("b")), "rest")
-    more = verified(rest, texts, percent, width, scratch)
+    more = verified(rest, texts, sketches, percent, width, scratch)
     if not more.isEmpty():
         known = scratch.write(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch), "all")
     by_class = classes.select("n", "one", "two", "rep").join(known.select(F.col("node").alias("rep"), F.col("component").alias("found")), "rep", "left")
