@@ -4,8 +4,10 @@ Pages of a host come from one template. Each page is parsed into a tree in which
 alike siblings are one repeated node; trees are aligned with the host's wrapper by simple
 tree matching (the largest top-down, order-keeping match of two trees), and merged into
 it. A wrapper node whose text is the same on all pages is template; a node whose text
-varies is a slot. The content region of a wrapper is the deepest node that holds
-nearly all of the varying text outside of elements that are never content. A page's text
+varies, or that only one of several pages has, is a slot. The content region of a wrapper is
+the lowest node that holds every slot outside of elements that are never content; where
+nothing is known to vary (one page, or copies), it is the page's own article or main element,
+or all of the page. A page's text
 is then taken from the nodes that are aligned with the region, less elements
 that are never content (menus, adverts, forms, comments and the like, by tag and by
 name); what is constant inside the region stays, as an article may repeat a line.
@@ -38,8 +40,6 @@ SALTS = 64
 #: Children of a wrapper node that are kept apart; further ones are matched with the last.
 FANOUT = 48
 DEPTH = 40
-#: Share of the varying text that the content region holds at least.
-REGION_SHARE = 0.8
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -110,10 +110,11 @@ def never(node: Node) -> bool:
 
 
 def shape(node: Node, depth: int = 0) -> list:
-    """The page's tree for alignment: [tag and name, text, varying, children], runs of alike children once.
+    """The page's tree for alignment: [tag and name, text, pages, children], runs of alike children once.
 
-    ``varying`` is the text's mean length where it is a slot, and -1 while it is constant.
-    Inline elements and what is never content count as text and as leaves.
+    The text is None where it is a slot. A run's text is that of all its members, so that a
+    run that is the same on all pages is constant. Inline elements count as text and what is
+    never content as leaves without any.
     """
     text: list[str] = []
     children: list[list] = []
@@ -121,16 +122,21 @@ def shape(node: Node, depth: int = 0) -> list:
         if isinstance(x, str):
             text.append(x)
         elif x.tag in BLOCK and depth < DEPTH:
-            y = shape(x, depth + 1) if not never(x) else [f"{x.tag} {x.name}".strip(), "", -1, []]
+            y = shape(x, depth + 1) if not never(x) else [f"{x.tag} {x.name}".strip(), "", 1, []]
             if children and children[-1][0] == y[0]:
-                children[-1] = merge(children[-1], y)
+                children[-1] = fold(children[-1], y)
             else:
                 children.append(y)
         elif not never(x):
             inner = shape(x, depth + 1)
             text.append(inner[1])
             children += inner[3]
-    return [f"{node.tag} {node.name}".strip(), SPACE.sub(" ", " ".join(text)).strip(), -1, children]
+    return [f"{node.tag} {node.name}".strip(), SPACE.sub(" ", " ".join(text)).strip(), 1, children]
+
+
+def fold(a: list, b: list) -> list:
+    """Two alike siblings of one page as one node."""
+    return [a[0], a[1] + "\n" + b[1] if a[1] and b[1] else a[1] or b[1], 1, paired(a[3], b[3], fold)]
 
 
 def match(a: list, b: list) -> int:
@@ -170,42 +176,47 @@ def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """Wrapper of two aligned trees; children of only one side are kept."""
-    slot = a[2] >= 0 or b[2] >= 0 or a[1] != b[1]
-    varying = max(a[2], b[2], max(len(a[1]), len(b[1])) if slot else -1)
-    pairs = align(a[3], b[3])
+def paired(a: list[list], b: list[list], join) -> list[list]:
+    """Both lists of children in order, those that the largest match pairs joined."""
     children: list[list] = []
     i = j = 0
-    for p, q in [*pairs, (len(a[3]), len(b[3]))]:
-        children += a[3][i:p] + b[3][j:q]
-        if p < len(a[3]):
-            children.append(merge(a[3][p], b[3][q]))
+    for p, q in [*align(a, b), (len(a), len(b))]:
+        children += a[i:p] + b[j:q]
+        if p < len(a):
+            children.append(join(a[p], b[q]))
         i, j = p + 1, q + 1
-    return [a[0], "" if slot else a[1][:200], varying, children[:FANOUT]]
+    return children
 
 
-def mass(node: list) -> int:
-    return max(0, node[2]) + sum(map(mass, node[3]))
+def merge(a: list, b: list) -> list:
+    """Wrapper of two aligned trees; children of only one side are kept."""
+    text = a[1][:200] if a[1] is not None and a[1] == b[1] else None
+    return [a[0], text, a[2] + b[2], paired(a[3], b[3], merge)[:FANOUT]]
+
+
+def varies(node: list, pages: int) -> bool:
+    """Whether there is a slot in the tree, out of a wrapper of so many pages."""
+    return node[1] is None or bool(node[1] and node[2] == 1 and pages > 1) or any(varies(x, pages) for x in node[3])
 
 
 def region(wrapper: list) -> list[str]:
-    """Path (tags and names) of the content region, from the root."""
-    path, node = [wrapper[0]], wrapper
-    total = mass(wrapper)
-    while node[3]:
-        best = max(node[3], key=mass)
-        if mass(best) < REGION_SHARE * total or best[0].split(" ")[0] in ("p", "li", "tr", "td", "h1", "h2", "h3", "blockquote", "pre") or not best[3]:
-            break
-        path.append(best[0])
-        node = best
-        if node[0].split(" ")[0] in HEADS:
+    """Path (tags and names) of the content region, from the root; empty if nothing varies."""
+    path, node, pages = [wrapper[0]], wrapper, wrapper[2]
+    if not varies(wrapper, pages):
+        return []
+    while node[0].split(" ")[0] not in HEADS and not varies([*node[:3], []], pages):
+        slots = [x for x in node[3] if varies(x, pages)]
+        if len(slots) > 1 or slots[0][0].split(" ")[0] in ("p", "li", "tr", "td", "h1", "h2", "h3", "blockquote", "pre") or not slots[0][3]:
             break
+        node = slots[0]
+        path.append(node[0])
     return path
 
 
 def places(root: Node, path: list[str]) -> list[Node]:
-    """The page's nodes on the region's path; the page's own article or main element, if the path is not there."""
+    """The page's nodes on the region's path, as far as the page has it; without a path its article or main element."""
+    if not path:
+        return heads(root) or [root]
     level = [root]
     for name in path[1:]:
         deeper = []
@@ -217,9 +228,9 @@ def places(root: Node, path: list[str]) -> list[Node]:
             elif x.tag not in BLOCK:
                 todo = [c for c in x.children if isinstance(c, Node)] + todo
         if not deeper:
-            return heads(root) or level
+            return level
         level = deeper
-    return level if path[-1].split(" ")[0] in HEADS else (heads(root) or level)
+    return level
 
 
 def heads(root: Node) -> list[Node]:
@@ -276,7 +287,9 @@ def wrapper_rows(iterator):
     known: dict[str, list] = {}
     for batch in iterator:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tree = shape(parse(html or ""))
+            if not html:  # an empty page says nothing of its host
+                continue
+            tree = shape(parse(html))
             known[host] = merge(known[host], tree) if host in known else tree
             if len(known) > 5_000:  # wrappers of very many hosts are handed on early
                 yield _wrappers(known)
@@ -315,7 +328,7 @@ def text_rows(paths: dict[str, str] | None):
         for batch in iterator:
             hosts = batch.column(3).to_pylist()
             own = [sent.get(h) for h in hosts] if sent is not None else batch.column(4).to_pylist()
-            text = [blocks(places(parse(html), json.loads(path) if path else ["#root"])) if html else "" for html, path in zip(batch.column(2).to_pylist(), own, strict=True)]
+            text = [blocks(places(parse(html), json.loads(path) if path else [])) if html else "" for html, path in zip(batch.column(2).to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     return run

@@ -176,6 +176,20 @@ def test_html(spark):
     assert got[5] == got[6] == "" and got[7] == "a\nb"
 
 
+def extracted(spark, pages):
+    rows = [(i, "http://h.example/x", p) for i, p in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).orderBy("page_id").collect()]
+
+
+def test_html_keeps_all_varying_text(spark):
+    page = "<body><div class=top><p>Site</div><div class=page><h1>T{0}</h1><div class=summary>S{0}</div><div class=body><p>{1}<p>and {1}</div></div>"
+    long = ["many words of text " * 20 + str(i) for i in range(4)]
+    assert extracted(spark, [page.format(i, x) for i, x in enumerate(long)]) == [f"T{i}\nS{i}\n{x}\nand {x}" for i, x in enumerate(long)]
+    # a part that only one page has is not known to be template; an article does not hide what varies beside it
+    page = "<body><div class=top><p>Site</div><div class=page>{1}<article><p>A{0}</article></div>"
+    assert extracted(spark, [page.format(i, "<div class=summary>S</div>" if i == 2 else "") for i in range(4)]) == ["A0", "A1", "S\nA2", "A3"]
+
+
 def test_empty_tables(spark):
     docs = make(spark, ["x"]).filter("doc_id < 0")
     for f in (suffix.suffix_dedup, jaccard.ngram_jaccard, mixing.mix_sources, licenses.scan, mixing.mixed_documents, suffix.without_repeats, jaccard.keep_one_of_each, langid.keep_identified):
