@@ -25,6 +25,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from html import unescape
@@ -37,7 +38,7 @@ from rallyline.llm._base import load, scratch_dir
 
 BROADCAST = 16 << 20
 SALTS = 64
-#: Children of a wrapper node that are kept apart; further ones are matched with the last.
+#: Children of a wrapper node that are kept apart; beyond, those of one tag become one repeated node.
 FANOUT = 48
 DEPTH = 40
 
@@ -188,10 +189,40 @@ def paired(a: list[list], b: list[list], join) -> list[list]:
     return children
 
 
+def digested(node: list) -> list:
+    """The tree with a hash and the length of each text in its place."""
+    text = f"{len(node[1])}:{hashlib.blake2b(node[1].encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}" if node[1] else ""
+    return [node[0], text, node[2], [digested(x) for x in node[3]]]
+
+
+def any_of(node: list) -> str:
+    """Name of the repeated node that a child is folded into."""
+    return node[0].split(" ")[0] + " *"
+
+
+def bounded(children: list[list]) -> list[list]:
+    """At most FANOUT children and one for each tag: those of one page are folded first, the others if they must."""
+    for surplus in (lambda x: x[2] == 1, lambda x: True):
+        if len(children) <= FANOUT:
+            break
+        out: list[list] = []
+        at: dict[str, int] = {}
+        for x in children:
+            name = any_of(x)
+            if x[0] != name and not surplus(x):
+                out.append(x)
+            elif name in at:
+                out[at[name]] = merge(out[at[name]], [name, *x[1:]])
+            else:
+                at[name] = len(out)
+                out.append([name, *x[1:]])
+        children = out
+    return children
+
+
 def merge(a: list, b: list) -> list:
     """Wrapper of two aligned trees; children of only one side are kept."""
-    text = a[1][:200] if a[1] is not None and a[1] == b[1] else None
-    return [a[0], text, a[2] + b[2], paired(a[3], b[3], merge)[:FANOUT]]
+    return [a[0], a[1] if a[1] == b[1] else None, a[2] + b[2], bounded(paired(a[3], b[3], merge))]
 
 
 def varies(node: list, pages: int) -> bool:
@@ -223,7 +254,7 @@ def places(root: Node, path: list[str]) -> list[Node]:
         todo = [c for x in level for c in x.children if isinstance(c, Node)]
         while todo:
             x = todo.pop(0)
-            if f"{x.tag} {x.name}".strip() == name:
+            if name in (f"{x.tag} {x.name}".strip(), f"{x.tag} *"):
                 deeper.append(x)
             elif x.tag not in BLOCK:
                 todo = [c for c in x.children if isinstance(c, Node)] + todo
@@ -289,7 +320,7 @@ def wrapper_rows(iterator):
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not html:  # an empty page says nothing of its host
                 continue
-            tree = shape(parse(html))
+            tree = digested(shape(parse(html)))
             known[host] = merge(known[host], tree) if host in known else tree
             if len(known) > 5_000:  # wrappers of very many hosts are handed on early
                 yield _wrappers(known)

@@ -190,6 +190,23 @@ def test_html_keeps_all_varying_text(spark):
     assert extracted(spark, [page.format(i, "<div class=summary>S</div>" if i == 2 else "") for i in range(4)]) == ["A0", "A1", "S\nA2", "A3"]
 
 
+def test_html_long_template_and_unique_ids(spark):
+    legal = "terms and conditions of this host " * 20
+    page = "<body><div class=legal>" + legal + "{0}</div><div class=body><p>B{1}</p></div>"
+    assert extracted(spark, [page.format("", i) for i in range(4)]) == [f"B{i}" for i in range(4)]
+    assert extracted(spark, [page.format(i, i) for i in range(4)]) == [f"{legal}{i}\nB{i}" for i in range(4)]
+    # more page-unique siblings than a wrapper node keeps apart
+    page = "<body><div class=wrap>" + "".join(f"<section id=x{j}-{{0}}>S{{0}}-{j}</section>" for j in range(5)) + "<div class=body><p>B{0}</div></div>"
+    want = ["\n".join([*[f"S{i}-{j}" for j in range(5)], f"B{i}"]) for i in range(40)]
+    assert extracted(spark, [page.format(i) for i in range(40)]) == want
+    root = None
+    for i in range(200):
+        tree = html.digested(html.shape(html.parse(f"<body><div class=a><div id=post-{i}><p>X{i}</div><section class=same><p>Y{i}</section></div>")))
+        root = tree if root is None else html.merge(root, tree)
+    inner = root[3][0][3][0][3]
+    assert len(inner) <= html.FANOUT + 2 and sum(x[2] for x in inner) == 400 and "section same" in [x[0] for x in inner]
+
+
 def test_empty_tables(spark):
     docs = make(spark, ["x"]).filter("doc_id < 0")
     for f in (suffix.suffix_dedup, jaccard.ngram_jaccard, mixing.mix_sources, licenses.scan, mixing.mixed_documents, suffix.without_repeats, jaccard.keep_one_of_each, langid.keep_identified):
