@@ -10,7 +10,10 @@ nothing is known to vary (one page, or copies), it is the page's own article or
 or all of the page. A page's text
 is then taken from the nodes that are aligned with the region, less elements
 that are never content (menus, adverts, forms, comments and the like, by tag and by
-name); what is constant inside the region stays, as an article may repeat a line.
+name) and less what the wrapper holds as template: a text that all of the host's pages have
+at one place, if they are SUPPORT or more (the same line on fewer pages may be an
+article's, and stays). Names that are given to content as well (side, notice, header and the like)
+are never content only where the wrapper's node is constant, or where nothing is known of it.
 
 Wrappers are merged within each task first, then by host: what is shuffled is a few small
 trees a host, however many pages it has. They are sent to all tasks while they are
@@ -41,6 +44,8 @@ SALTS = 64
 #: Children of a wrapper node that are kept apart; beyond, those of one tag become one repeated node.
 FANOUT = 48
 DEPTH = 40
+#: Pages of a host from which on a text that all of them have is taken out of the region.
+SUPPORT = 5
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +54,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NEVER = frozenset("nav header footer aside form script style noscript template textarea title head button select option input iframe svg menu dialog object embed canvas audio video label fieldset".split())
 CLOSES = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HEADS = frozenset("article main".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|share|sharing|social|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|related|recommend\w*|comment\w*|discussion|disqus|footer|header|masthead|login|search|pagination|pager|widget\w*|skip)(?:$|[\s_-])", re.I)
+NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|popup|modal|newsletter|subscribe|share|sharing|social|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|related|recommend\w*|comment\w*|disqus|footer|masthead|login|search|pagination|pager|skip)(?:$|[\s_-])", re.I)
+MAYBE = re.compile(r"(?:^|[\s_-])(?:notice\w*|alert|side|discussion|header|widget\w*)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -110,8 +116,13 @@ def never(node: Node) -> bool:
     return node.tag in NEVER or (node.tag not in ("body", "html", "#root", "article", "main") and bool(node.name) and NAMES.search(node.name) is not None)
 
 
+def maybe(tag: str, name: str) -> bool:
+    """Whether an element is content only if it varies."""
+    return tag not in ("body", "html", "#root", "article", "main") and bool(name) and MAYBE.search(name) is not None
+
+
 def shape(node: Node, depth: int = 0) -> list:
-    """The page's tree for alignment: [tag and name, text, pages, children], runs of alike children once.
+    """The page's tree for alignment: [tag and name, text, pages, children, elements], runs of alike children once.
 
     The text is None where it is a slot. A run's text is that of all its members, so that a
     run that is the same on all pages is constant. Inline elements count as text and what is
@@ -123,7 +134,7 @@ def shape(node: Node, depth: int = 0) -> list:
         if isinstance(x, str):
             text.append(x)
         elif x.tag in BLOCK and depth < DEPTH:
-            y = shape(x, depth + 1) if not never(x) else [f"{x.tag} {x.name}".strip(), "", 1, []]
+            y = shape(x, depth + 1) if not never(x) else [f"{x.tag} {x.name}".strip(), "", 1, [], [x]]
             if children and children[-1][0] == y[0]:
                 children[-1] = fold(children[-1], y)
             else:
@@ -132,12 +143,12 @@ def shape(node: Node, depth: int = 0) -> list:
             inner = shape(x, depth + 1)
             text.append(inner[1])
             children += inner[3]
-    return [f"{node.tag} {node.name}".strip(), SPACE.sub(" ", " ".join(text)).strip(), 1, children]
+    return [f"{node.tag} {node.name}".strip(), SPACE.sub(" ", " ".join(text)).strip(), 1, children, [node]]
 
 
 def fold(a: list, b: list) -> list:
     """Two alike siblings of one page as one node."""
-    return [a[0], a[1] + "\n" + b[1] if a[1] and b[1] else a[1] or b[1], 1, paired(a[3], b[3], fold)]
+    return [a[0], a[1] + "\n" + b[1] if a[1] and b[1] else a[1] or b[1], 1, paired(a[3], b[3], fold), a[4] + b[4]]
 
 
 def match(a: list, b: list) -> int:
@@ -189,10 +200,13 @@ def paired(a: list[list], b: list[list], join) -> list[list]:
     return children
 
 
+def digest(text: str) -> str:
+    return f"{len(text)}:{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}" if text else ""
+
+
 def digested(node: list) -> list:
-    """The tree with a hash and the length of each text in its place."""
-    text = f"{len(node[1])}:{hashlib.blake2b(node[1].encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}" if node[1] else ""
-    return [node[0], text, node[2], [digested(x) for x in node[3]]]
+    """The tree without its elements, a hash and the length of each text in its place."""
+    return [node[0], digest(node[1]), node[2], [digested(x) for x in node[3]]]
 
 
 def any_of(node: list) -> str:
@@ -244,6 +258,47 @@ def region(wrapper: list) -> list[str]:
     return path
 
 
+def marks(nodes: list[list], pages: int) -> dict:
+    """Name -> [texts that are template, whether a doubtful name varies, marks of the children], where there are any."""
+    out: dict[str, list] = {}
+    for x in nodes:
+        inner = marks(x[3], pages)
+        texts = [x[1]] if x[1] and x[2] >= pages >= SUPPORT else []
+        keep = maybe(*x[0].partition(" ")[::2]) and varies(x, pages)
+        if x[0].endswith(" *"):
+            keep = varies(x, pages)
+        if texts or keep or inner:
+            if x[0] in out:
+                texts, keep, inner = out[x[0]][0] + texts, out[x[0]][1] or keep, joined(out[x[0]][2], inner)
+            out[x[0]] = [texts, keep, inner]
+    return out
+
+
+def joined(a: dict, b: dict) -> dict:
+    return {k: [a[k][0] + b[k][0], a[k][1] or b[k][1], joined(a[k][2], b[k][2])] if k in a and k in b else a.get(k) or b[k] for k in [*a, *(k for k in b if k not in a)]}
+
+
+def marked(nodes: list[list], known: dict, mute: set[int], keep: set[int]) -> None:
+    """Finds the page's elements whose own text is template, and those of doubtful names that vary."""
+    for x in nodes:
+        m = known.get(x[0]) or known.get(any_of(x))
+        if m:
+            if digest(x[1]) in m[0]:
+                mute.update(map(id, x[4]))
+            if m[1]:
+                keep.update(map(id, x[4]))
+            marked(x[3], m[2], mute, keep)
+
+
+def main_text(html: str, path: list[str], known: dict) -> str:
+    root = parse(html)
+    mute: set[int] = set()
+    keep: set[int] = set()
+    if known:
+        marked(shape(root)[3], known, mute, keep)
+    return blocks(places(root, path), mute, keep)
+
+
 def places(root: Node, path: list[str]) -> list[Node]:
     """The page's nodes on the region's path, as far as the page has it; without a path its article or main element."""
     if not path:
@@ -275,8 +330,8 @@ def heads(root: Node) -> list[Node]:
     return out
 
 
-def blocks(nodes: list[Node]) -> str:
-    """Text of the nodes: a line for each block that has any."""
+def blocks(nodes: list[Node], mute: set[int], keep: set[int]) -> str:
+    """Text of the nodes: a line for each block that has any, but for the own texts of muted blocks."""
     out: list[str] = []
     line: list[str] = []
 
@@ -286,25 +341,26 @@ def blocks(nodes: list[Node]) -> str:
             out.append(text)
         line.clear()
 
-    def walk(node: Node):
+    def walk(node: Node, muted: bool):
         for x in node.children:
             if isinstance(x, str):
-                line.append(x)
+                if not muted:
+                    line.append(x)
             elif x.tag == "br":
                 line.append(" ")
-            elif never(x):
+            elif never(x) or (x.tag in BLOCK and id(x) not in keep and maybe(x.tag, x.name)):
                 if x.tag in BLOCK:
                     end()
             elif x.tag in BLOCK:
                 end()
-                walk(x)
+                walk(x, id(x) in mute)
                 end()
             else:
-                walk(x)
+                walk(x, muted)
 
     for node in nodes:
         end()
-        walk(node)
+        walk(node, id(node) in mute)
         end()
     return "\n".join(out)
 
@@ -333,7 +389,7 @@ def _wrappers(known: dict[str, list]) -> pa.RecordBatch:
 
 
 def merge_rows(iterator):
-    """Rows (host, wrapper) sorted by host -> host and the path of its content region."""
+    """Rows (host, wrapper) sorted by host -> host and the path of its content region, with its marks."""
     name, held = None, None
     for batch in iterator:
         for host, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -348,7 +404,7 @@ def merge_rows(iterator):
 
 
 def _paths(host: str, wrapper: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(region(wrapper))])], names=["host", "path"])
+    return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps([region(wrapper), marks(wrapper[3], wrapper[2])])])], names=["host", "path"])
 
 
 def text_rows(paths: dict[str, str] | None):
@@ -359,7 +415,7 @@ def text_rows(paths: dict[str, str] | None):
         for batch in iterator:
             hosts = batch.column(3).to_pylist()
             own = [sent.get(h) for h in hosts] if sent is not None else batch.column(4).to_pylist()
-            text = [blocks(places(parse(html), json.loads(path) if path else [])) if html else "" for html, path in zip(batch.column(2).to_pylist(), own, strict=True)]
+            text = [main_text(html, *(json.loads(path) if path else ([], {}))) if html else "" for html, path in zip(batch.column(2).to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     return run

@@ -207,6 +207,11 @@ def test_html_long_template_and_unique_ids(spark):
     assert len(inner) <= html.FANOUT + 2 and sum(x[2] for x in inner) == 400 and "section same" in [x[0] for x in inner]
 
 
+def test_html_drops_template_and_keeps_slots(spark):
+    page = "<body><article><h1>T{0}</h1><div class=x7>Buy <b>now</b></div><section id=discussion><p>D{0}</section><div class=side-effects>E{0}</div><div class=notice>N</div><p>A{0}<div class=ad>ad{0}</div></article>"
+    assert extracted(spark, [page.format(i) for i in range(6)]) == [f"T{i}\nD{i}\nE{i}\nA{i}" for i in range(6)]
+
+
 def test_empty_tables(spark):
     docs = make(spark, ["x"]).filter("doc_id < 0")
     for f in (suffix.suffix_dedup, jaccard.ngram_jaccard, mixing.mix_sources, licenses.scan, mixing.mixed_documents, suffix.without_repeats, jaccard.keep_one_of_each, langid.keep_identified):
