@@ -9,8 +9,11 @@ each, so that one binary search serves every language. Every text is scored whol
 the lowest mean cross-entropy per character.
 
 A part of the sample (one document in five) is kept from the counts and calibrates both
-the temperature that turns cross-entropies into a score in [0, 1] and the cross-entropy
-beyond which a text is rejected as none of the languages.
+the temperature that turns cross-entropies into a score in [0, 1] and, for each language, the
+cross-entropy beyond which a text is rejected as none of the languages: that which the share
+FALSE_REJECTION of the language's own calibration documents exceeds. A language with fewer
+than ENOUGH of them takes the limit of all languages' together, and one with fewer than
+five the spread (and, with none, the mean) of the others. With no language of five nothing is rejected.
 
 Null text and text without a letter give ``und`` with score 0 and are rejected. With no
 labelled document at all every text is ``und``. Ties go to the language first in order.
@@ -31,8 +34,10 @@ ORDER = 4
 PER_LANG = 1000
 MOST_LANGS = 256
 UNKNOWN = "und"
-#: How far beyond the calibration documents' 99.9 % quantile a text is rejected.
-SLACK = 2.0
+#: Share of a learned language's documents that its limit may reject.
+FALSE_REJECTION = 0.01
+#: Calibration documents from which on a language has a limit of its own.
+ENOUGH = 100
 PIECE = 1 << 20
 
 _LETTER: list[np.ndarray] = []
@@ -187,20 +192,25 @@ class Calibration:
                 loss = float(np.mean(top + np.log(np.exp(z - top[:, None]).sum(axis=1))))
                 best = min(best, (loss, float(heat)))
         self.heat = best[1]
-        self.mean, self.spread = np.full(len(model.langs), np.inf), np.ones(len(model.langs))
-        scores = []
-        for k in range(len(model.langs)):
-            mine, n = own[truth == k], letter_counts[truth == k]
-            if len(mine) >= 5:
-                self.mean[k] = np.median(mine)
-                unit = np.abs(mine - self.mean[k]) / (0.05 + 1 / np.sqrt(n))
-                self.spread[k] = max(1e-3, float(np.median(unit)))
-                scores.append((mine - self.mean[k]) / (0.05 + 1 / np.sqrt(n)) / self.spread[k])
-        self.limit = SLACK * max(4.0, float(np.quantile(np.concatenate(scores), 0.999))) if scores else np.inf
+        langs, least = range(len(model.langs)), 4.0
+        mine = [own[truth == k] for k in langs]
+        size = [0.05 + 1 / np.sqrt(letter_counts[truth == k]) for k in langs]
+        self.mean = np.array([np.median(x) if len(x) else np.nan for x in mine])
+        self.spread = np.array([max(1e-3, float(np.median(np.abs(mine[k] - self.mean[k]) / size[k]))) if len(mine[k]) >= 5 else np.nan for k in langs])
+        if np.isnan(self.spread).all():
+            self.mean, self.spread, self.limit = np.full(len(langs), np.inf), np.ones(len(langs)), np.full(len(langs), np.inf)
+            return
+        known = ~np.isnan(self.spread)
+        self.mean = np.where(np.isnan(self.mean), np.median(self.mean[known]), self.mean)
+        self.spread = np.where(known, self.spread, np.median(self.spread[known]))
+        units = [(mine[k] - self.mean[k]) / size[k] / self.spread[k] for k in langs]
+        limit = lambda x: max(least, float(np.quantile(x, 1 - FALSE_REJECTION)))
+        pooled = limit(np.concatenate(units))
+        self.limit = np.array([limit(x) if len(x) >= ENOUGH else pooled for x in units])
 
     def rejects(self, best: np.ndarray, entropy: np.ndarray, letter_counts: np.ndarray) -> np.ndarray:
         unit = (entropy - self.mean[best]) / (0.05 + 1 / np.sqrt(np.maximum(letter_counts, 1))) / self.spread[best]
-        return (letter_counts == 0) | (unit > self.limit)
+        return (letter_counts == 0) | (unit > self.limit[best])
 
 
 def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG) -> tuple[Model, Calibration] | None:

@@ -161,6 +161,20 @@ def test_langid(spark):
     assert got[203].lang_pred == "en" and got[204].rejected and not any(got[i].rejected for i in range(120))
 
 
+def test_langid_limits():
+    rnd = np.random.default_rng(4)
+    langs = ["a"] * 200 + ["b"] * 200 + ["c"] * 3
+    model = type("M", (), {"langs": ["a", "b", "c", "d"]})
+    entropies = rnd.normal(2.0, 0.05, (len(langs), 4))
+    entropies[0, 0] = 30.0  # one junk document under a label
+    cal = langid.Calibration(model, entropies, np.full(len(langs), 400, np.int64), langs)
+    letters = np.full(4, 400, np.int64)
+    assert cal.rejects(np.arange(4), np.full(4, 4.0), letters).all()  # languages of few or no calibration documents too
+    assert not cal.rejects(np.arange(4), np.full(4, 2.1), letters).any()
+    fresh = rnd.normal(2.0, 0.05, 5000)
+    assert cal.rejects(np.zeros(5000, int), fresh, np.full(5000, 400, np.int64)).mean() <= 0.02
+
+
 def test_licenses(spark):
     texts = ["Intro\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", None, "", "word", "We like the license plate of this car."]
     got = {(r.doc_id, r.license, r.kind) for r in licenses.scan(make(spark, texts)).collect()}
