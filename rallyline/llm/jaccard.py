@@ -468,9 +468,23 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with its columns as they were."""
-    found = ngram_jaccard(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of each component, with its columns as they were: that with the smallest doc_id, null last.
+
+    Rows are told apart by doc_id and text together, so that rows of a null or a repeated
+    doc_id are each searched with their own text; documents without a word all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = ngram_jaccard(rows.select(F.col("_key").alias("doc_id"), "text"), **options).filter("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    single = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    found = found.join(single, "component_id", "left_semi").join(rows.select("_key", "doc_id").distinct(), "_key")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
+    kept = found.groupBy("component_id").agg(F.min(order).alias("kept")).select(F.col("kept._key").alias("_key"))
+    gone = scratch.finish(found.select("_key").join(kept, "_key", "left_anti"))
+    rows = rows.join(gone, "_key", "left_anti")
+    worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    return rows.filter(worded).dropDuplicates(["_key"]).unionByName(rows.filter(~worded)).select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float
     return per.select("source", "sid", "source_size", "ramp", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target, taken, passes.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.5, cap: float = 2.0, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, size, source_size, target, taken, passes, and the columns ``carried``.
 
     ``passes`` has a struct (pass, taken, position) for each time the mix reads the
     document; ``taken`` is their sum. Rows come sorted by their first position.
@@ -75,17 +75,17 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.
     scratch = Scratch(spark, "mix")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = scratch.write(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes")
+    sizes = scratch.write(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *carried), "sizes")
     rows = sizes.count()
     digits = 1 + max(0, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
     per = source_targets(sizes, weights, ramps, share, cap)
     same = F.expr("s.source <=> p.source")
-    docs_in = sizes.alias("s").join(per.alias("p"), same).select("s.doc_id", "s.size", "s.key", "p.sid", "p.source_size", "p.target", "p.ramp")
+    docs_in = sizes.alias("s").join(per.alias("p"), same).select("s.doc_id", "s.size", "s.key", "p.sid", "p.source_size", "p.target", "p.ramp", *[f"s.{c}" for c in carried])
     docs_in = docs_in.withColumn("bucket", F.substring("key", 1, digits))
     held = docs_in.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("sid", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     docs_in = docs_in.withColumn("prior", F.coalesce(F.sum("size").over(within), F.lit(0)))
     docs_in = docs_in.join(held, ["sid", "bucket"]).withColumn("prior", F.col("prior") + F.col("ahead"))
     limit = F.floor("target")
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.
     out = docs_in.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(F.filter(passes, lambda p: F.lit(False))))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["taken"])
     position = F.when(F.size("passes") > 0, F.element_at("passes", 1)["position"])
-    out = out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), "passes")
+    out = out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), "passes", *carried)
     return scratch.finish(out.orderBy(F.col("position").asc_nulls_last(), "doc_id"))
 
 
@@ -107,11 +107,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents in training order, cut and repeated as planned.
 
     A row per reading of a document, with all columns of ``docs``; a document cut by
-    its source's target keeps its first words. Rows with one doc_id count once.
+    its source's target keeps its first words. Every row is a document, whether its doc_id is
+    null or on other rows too: rows are told apart by doc_id, text and source, and equal ones by number.
     """
-    plan = mix_sources(docs.dropDuplicates(["doc_id"]), **options).select("doc_id", "size", F.explode("passes").alias("p"))
-    reads = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("p.taken").alias("_taken"), F.col("p.position").alias("_position"))
-    rows = docs.dropDuplicates(["doc_id"]).join(reads, F.col("doc_id") == F.col("_id"))
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("")) for c in ("doc_id", "text", "source")]
+    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(" ", *parts), 256))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    plan = mix_sources(keyed, **options, carried=("_key",)).select("_key", "size", nth.alias("_nth"), "passes")
+    plan = plan.select("_key", "_nth", F.col("size").alias("_size"), F.explode("passes").alias("p"))
+    reads = plan.select("_key", "_nth", "_size", F.col("p.taken").alias("_taken"), F.col("p.position").alias("_position"))
+    rows = keyed.withColumn("_nth", nth).join(reads, ["_key", "_nth"])
     first = F.array_join(F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_taken").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -226,6 +226,17 @@ def test_html_drops_template_and_keeps_slots(spark):
     assert extracted(spark, [page.format(i) for i in range(6)]) == [f"T{i}\nD{i}\nE{i}\nA{i}" for i in range(6)]
 
 
+def test_null_and_repeated_ids_stay(spark):
+    rnd = random.Random(8)
+    base = [" ".join(rnd.choice(WORDS) + str(rnd.randint(0, 99)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, base[0]), (None, base[1]), (7, base[2]), (7, base[3]), (9, base[4]), (8, base[4]), (None, base[4]), (None, base[5]), (None, base[5]), (None, ""), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, 1, 1, "k", "x") for i, t in rows], DOC)
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(None, base[0]), (None, base[1]), (7, base[2]), (7, base[3]), (8, base[4]), (None, base[5]), (None, ""), (None, None), (3, "")], key=repr)
+    read = [(r.doc_id, r.text) for r in mixing.mixed_documents(docs, share=2.0).collect()]
+    assert sorted(read, key=repr) == sorted([r for r in rows if r[1]] * 2, key=repr)
+
+
 def test_empty_tables(spark):
     docs = make(spark, ["x"]).filter("doc_id < 0")
     for f in (suffix.suffix_dedup, jaccard.ngram_jaccard, mixing.mix_sources, licenses.scan, mixing.mixed_documents, suffix.without_repeats, jaccard.keep_one_of_each, langid.keep_identified):
