@@ -196,6 +196,25 @@ def agg35(spark, d):
     return m.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
 
 
+#: Resamples of the reference (research/shi_player_profile_v2.py).
+REPETITIONS = 10_000
+
+
+def bootstrap_interval(values: DataFrame, repetitions: int) -> DataFrame:
+    """Percentile interval of the mean of ``delta`` (i, delta; i from 0 on), resampled by a hash."""
+    k = values.agg(F.count(F.lit(1)).alias("k"))
+    r = values.repartition("i").crossJoin(F.broadcast(k)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("7"), F.col("rep"), F.col("i"))), 1, 8), 16, 10).cast("long") % F.col("k")
+    m = r.select("rep", pick.alias("i")).join(values.select("i", "delta"), "i").groupBy("rep").agg(F.avg("delta").alias("mean"))
+    return m.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
+
+
+@query("agg35_bootstrap_10000")
+def agg35_whole(spark, d):
+    """agg35_bootstrap with the reference's number of resamples; tested by brute force."""
+    return bootstrap_interval(deltas(spark, d).withColumn("i", F.row_number().over(Window.orderBy("video")) - 1), REPETITIONS)
+
+
 @query("win01_stencil", f"WITH {EV}, w AS (SELECT video, id, value, lag(value) OVER o AS a, lead(value) OVER o AS b, frame - lag(frame) OVER o AS g1, lead(frame) OVER o - frame AS g2 FROM ev WINDOW o AS (PARTITION BY video ORDER BY us, id)) SELECT video, id, round(abs(b - 2 * value + a) / greatest(abs(value - a), abs(b - value), 1), 6) AS change FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND g1 <= 600 AND g2 <= 600")
 def win01(spark, d):
     w = sequence.by(["video"], "us", "id")

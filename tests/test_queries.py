@@ -1,11 +1,13 @@
 """Each query against its SQL over the smallest tables, and hand-worked cases of the operators."""
 
+import hashlib
 import itertools
 import math
 import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ def test_matching_is_optimal(spark):
         assert (len(out), -int(out["error"].abs().sum())) == best
 
 
+def test_bootstrap_repetitions(spark):
+    values = [3.0, -1.0, 4.5, 0.25, 7.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, delta double")
+    n = len(values)
+    pick = lambda rep, i: int(hashlib.md5(f"7:{rep}:{i}".encode()).hexdigest()[:8], 16) % n
+    means = [sum(values[pick(rep, i)] for i in range(n)) / n for rep in range(10_000)]
+    got = registry.bootstrap_interval(df, registry.REPETITIONS).first()
+    assert (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=2e-6)
+    assert "agg35_bootstrap_10000" in registry.QUERIES
+
+
 def test_sessions_gap(spark):
     df = spark.createDataFrame([("v", 1.0, 1), ("v", 1.5, 2), ("v", 10.0, 3)], "video string, t double, id int")
     assert [r.session for r in sequence.sessions(df, ["video"], "t", "id", 6.0).orderBy("id").collect()] == [1, 1, 2]
