@@ -46,6 +46,23 @@ def next_in(df: DataFrame, key: list[str], order: list[str], column: str, steps:
     return F.lead(column, steps).over(by(key, *order))
 
 
+def labelled_windows(df: DataFrame, key: list[str], at: str, value: str, label: str, size: int = 12, first: int = 6) -> DataFrame:
+    """Rows that begin ``size`` contiguous places: ``window`` of values, and ``window_label``.
+
+    The label is the only one other than 0 at offsets ``first`` to the end, 0 if there is none
+    and -1 if several differ. A window over a gap or a repeated place is none.
+    """
+    w = by(key, at)
+    held, late = w.rowsBetween(0, size - 1), w.rowsBetween(first, size - 1)
+    found = F.collect_set(F.when(F.col(label) != 0, F.col(label))).over(late)
+    df = df.withColumn("_step", (F.col(at) - F.lag(at).over(w) == 1).cast("int"))
+    df = df.withColumn("_steps", F.sum("_step").over(w.rowsBetween(1, size - 1))).withColumn("_n", F.count(F.lit(1)).over(held))
+    df = df.withColumn("window", F.collect_list(value).over(held)).withColumn("_found", found)
+    df = df.filter((F.col("_n") == size) & (F.col("_steps") == size - 1))
+    one = F.when(F.size("_found") > 1, -1).when(F.size("_found") == 1, F.element_at("_found", 1)).otherwise(0)
+    return df.withColumn("window_label", one).drop("_step", "_steps", "_n", "_found")
+
+
 def separated(key: list[str], t: str, tie: str, value: str, gap: int):
     """Greedy suppression: a row nearer than ``gap`` to the last kept replaces it if greater, else goes."""
 

@@ -258,6 +258,15 @@ def win30(spark, d):
     return ev(spark, d).withColumn("c", F.collect_list("cls").over(w)).filter("size(c) = 12").select("video", "id", F.concat_ws(",", "c").alias("classes"))
 
 
+@query("win30_31_labelled")
+def win30_labelled(spark, d):
+    """Windows of 12 contiguous rows (none bridges two sessions), with the label of a purchase's side (1 lower, 2 upper) at offsets 6 to 11."""
+    w = sequence.by(["video"], "us", "id")
+    side = F.when(F.col("cls") != "purchase", 0).when(F.col("side") == "lower", 1).otherwise(2)
+    e = sess(spark, d).withColumn("at", F.row_number().over(w) + F.col("session")).withColumn("label", side)
+    return sequence.labelled_windows(e, ["video"], "at", "cls", "label").select("video", "id", F.concat_ws(",", "window").alias("classes"), "window_label")
+
+
 @query("win32_percentile_rank", f"WITH {EV}, r AS (SELECT video, id, rank() OVER (PARTITION BY video ORDER BY score) AS r, count(*) OVER (PARTITION BY video, score) AS t, count(*) OVER (PARTITION BY video) AS n FROM ev) SELECT video, id, round((r + (t - 1) / 2 - 1) / nullif(n - 1, 0), 6) AS p FROM r")
 def win32(spark, d):
     e = ev(spark, d)
@@ -380,6 +389,21 @@ def agg07(spark, d):
     return m.crossJoin(t).select(F.round(F.col("f") / F.greatest("found", F.lit(1)), 6).alias("covered_found"), F.round(F.col("g") / F.greatest("gold", F.lit(1)), 6).alias("recall"))
 
 
+def scores(matches: DataFrame, totals: DataFrame) -> DataFrame:
+    """precision, recall and f1 of one-to-one matches, out of ``gold`` and ``found`` events; 0 where there are none."""
+    m = matches.agg(F.count(F.lit(1)).alias("m")).crossJoin(totals)
+    share = lambda n: F.when(F.col(n) > 0, F.col("m") / F.col(n)).otherwise(F.lit(0.0))
+    f1 = F.when(F.col("m") > 0, 2 * F.col("m") / (F.col("gold") + F.col("found"))).otherwise(F.lit(0.0))
+    return m.select(F.round(share("found"), 6).alias("precision"), F.round(share("gold"), 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+@query("agg07_matched_f1")
+def agg07_matched(spark, d):
+    """Precision, recall and F1 of join09's optimal one-to-one matches; tested by brute force."""
+    t = ev(spark, d).agg(F.count_if(F.col("cls") == "purchase").alias("gold"), F.count_if(F.col("cls") == "click").alias("found"))
+    return scores(join09(spark, d), t)
+
+
 @query("agg18_event_rate", f"WITH {SESS}, r AS (SELECT video, session, count(*) AS n, max(us) - min(us) AS dur FROM s GROUP BY ALL HAVING count(*) >= 2 AND max(us) > min(us)) SELECT video, round(median(n / (dur / 3600000000)), 6) AS rate FROM r GROUP BY video")
 def agg18(spark, d):
     r = sess(spark, d).groupBy("video", "session").agg(F.count(F.lit(1)).alias("n"), (F.max("us") - F.min("us")).alias("dur")).filter("n >= 2 and dur > 0")

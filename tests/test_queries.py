@@ -68,6 +68,31 @@ def test_bootstrap_repetitions(spark):
     assert "agg35_bootstrap_10000" in registry.QUERIES
 
 
+def test_matched_scores(spark):
+    # two golds near one found: one match, not two recalled
+    rows = spark.createDataFrame([(1, 1, 100, 0), (1, 2, 110, 0), (1, 3, 105, 1), (1, 4, 900, 1), (1, 5, 901, 1)], "video long, id long, at long, role int")
+    matches = rows.groupBy("video").applyInPandas(joins.match_rows(120), "video long, gold_id long, found_id long, error long")
+    totals = lambda g, f: spark.createDataFrame([(g, f)], "gold long, found long")
+    assert tuple(registry.scores(matches, totals(2, 3)).first()) == (0.333333, 0.5, 0.4)
+    assert tuple(registry.scores(matches.filter("video < 0"), totals(0, 3)).first()) == (0.0, 0.0, 0.0)
+    m, t = registry.join09(spark, SF), registry.ev(spark, SF).toPandas()
+    gold, found, k = int((t.cls == "purchase").sum()), int((t.cls == "click").sum()), m.count()
+    assert tuple(registry.QUERIES["agg07_matched_f1"](spark, SF).first()) == (round(k / found, 6), round(k / gold, 6), round(2 * k / (gold + found), 6))
+
+
+def test_labelled_windows(spark):
+    rnd = random.Random(6)
+    rows = [(v, t, f"{t}", rnd.choice([0, 0, 0, 0, 1, 2])) for v in (1, 2) for t in [*range(10, 45), *range(50, 70), *range(72, 80)]]
+    got = {(r.video, r.at): (r.window, r.window_label) for r in sequence.labelled_windows(spark.createDataFrame(rows, "video int, at int, cls string, label int"), ["video"], "at", "cls", "label").collect()}
+    label = {(v, t): x for v, t, _, x in rows}
+    want = {}
+    for v, t in label:
+        if all((v, t + k) in label for k in range(12)):
+            found = {label[v, t + k] for k in range(6, 12)} - {0}
+            want[v, t] = ([f"{t + k}" for k in range(12)], -1 if len(found) > 1 else next(iter(found), 0))
+    assert got == want and {x for _, x in want.values()} == {-1, 0, 1, 2}
+
+
 def test_sessions_gap(spark):
     df = spark.createDataFrame([("v", 1.0, 1), ("v", 1.5, 2), ("v", 10.0, 3)], "video string, t double, id int")
     assert [r.session for r in sequence.sessions(df, ["video"], "t", "id", 6.0).orderBy("id").collect()] == [1, 1, 2]
