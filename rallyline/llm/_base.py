@@ -131,15 +131,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and how many words each text has.
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of all words of the texts, and how many words each text has.
 
-    A word is a run of bytes outside the ASCII white space; A-Z are folded to a-z.
-    Texts are hashed in runs of about CHUNK bytes, cut only between words.
+    A word is a run of bytes outside the ASCII white space.
     """
     n = len(offsets) - 1
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return none, none, np.zeros(n, np.int64)
     gap = SPACE[data]
     first = np.zeros(len(data), bool)
     starts_of = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -148,13 +148,19 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     begin[1:] &= gap[:-1] | first[1:]
     start = np.flatnonzero(begin)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return none, none, np.zeros(n, np.int64)
     last = np.zeros(len(data), bool)
     last[np.append(starts_of[1:] - 1, len(data) - 1)] = True
     over = ~gap
     over[:-1] &= gap[1:] | last[:-1]
-    stop = np.flatnonzero(over) + 1
-    counts = np.diff(np.searchsorted(start, offsets))
+    return start, np.flatnonzero(over) + 1, np.diff(np.searchsorted(start, offsets))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hashes of the words at the spans, A-Z folded to a-z if asked.
+
+    Texts are hashed in runs of about CHUNK bytes, cut only between words.
+    """
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
@@ -166,7 +172,13 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
         a, b = start[at:to] - low, stop[at:to] - low
         out[at:to] = mix((hashes[b] - hashes[a]) * down[a] + (b - a).astype(np.uint64))
         at = to
-    return out, counts
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and how many words each text has."""
+    start, stop, counts = word_spans(data, offsets)
+    return span_hashes(data, start, stop, fold), counts
 
 
 def starts(counts: np.ndarray) -> np.ndarray:

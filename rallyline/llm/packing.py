@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import Scratch, load
+from rallyline.llm._base import Scratch, batches, load, span_hashes, starts, utf8, word_spans
 
 CAPACITY = 2048
 TOLERANCE = 1 / 64
@@ -36,7 +35,17 @@ TOLERANCE = 1 / 64
 SHORTEST = 16
 END_ID = 1
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 2_000_000
+#: Bytes of text, and words, looked up at once; bounds a worker's memory.
+BATCH = 2 << 20
+RUN = 1 << 18
+#: ASCII letters and digits, and ASCII punctuation but the bar.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+STOP = np.zeros(256, bool)
+STOP[0x21:0x7F] = True
+STOP[ALNUM] = False
+STOP[0x7C] = False
 #: A pretoken of its own that separates words encoded together.
 MARK = "\x00"
 
@@ -44,11 +53,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordIds:
-    """Ids of a text as bytes (little-endian unsigned 32-bit), through a cache of words.
+    """Ids of texts, through a bounded cache of words.
 
     The vocabulary's normaliser and pretokeniser never join characters across white
     space and drop the white space itself, so a text's ids are its words' ids in order.
-    Unknown words of several texts are encoded in one call.
+    A pretoken never runs from an ASCII letter or digit on to ASCII punctuation, so words
+    are parted there too (but before a bar, which special tokens hold), and words of
+    ASCII alone are known in lower case. Words are told apart by a 64-bit hash of their
+    bytes (with CACHED_WORDS words, two meet with a chance of 1e-7), kept in a sorted array;
+    unknown words of a batch are encoded together.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,49 +69,75 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.mark = self._ids(MARK)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.new) + len(words) > CACHED_WORDS:
-            self.old, self.new = self.new, {}
-        plain = [w for w in words if MARK not in w]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
+    def _encoded(self, some: list[str]) -> list[np.ndarray]:
+        if len(self.mark) == 1 and not any(MARK in w for w in some):
             ids = np.array(self._ids(f" {MARK} ".join(some)), np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) if len(self.mark) == 1 else ()
-            if len(ends) != len(some):
-                plain_ids = [array("I", self._ids(w)).tobytes() for w in some]
-            else:
-                raw, begin, plain_ids = ids.tobytes(), 0, []
-                for end in ends.tolist():
-                    plain_ids.append(raw[4 * begin : 4 * end])
-                    begin = end + 1
-            self.new.update(zip(some, plain_ids, strict=True))
-        for w in words:
-            if MARK in w:
-                self.new[w] = array("I", self._ids(w)).tobytes()
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown = []
-        for w in set().union(*split).difference(self.new):
-            if (known := self.old.get(w)) is not None:
-                self.new[w] = known
-            else:
-                unknown.append(w)
-        if unknown:
-            kept = self.old
-            self._learn(unknown)
-            if self.old is not kept:  # the generations changed: words of this call may be in either
-                merged = self.old | self.new
-                return [b"".join(map(merged.__getitem__, ws)) if all(w in merged for w in ws) else array("I", self._ids(" ".join(ws))).tobytes() for ws in split]
-        get = self.new.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) == len(some) - 1:
+                begins = np.append(0, ends + 1)
+                return [ids[a:b] for a, b in zip(begins.tolist(), np.append(ends, len(ids)).tolist(), strict=True)]
+        return [np.array(self._ids(w), np.uint32) for w in some]
+
+    def _learn(self, hashes: np.ndarray, found: list[str]) -> None:
+        """Take up words with ascending hashes, none of them known."""
+        got = [x for at in range(0, len(found), 4096) for x in self._encoded(found[at : at + 4096])]
+        sizes = np.fromiter(map(len, got), np.int32, len(got))
+        need = int(sizes.sum())
+        while len(self.pool) < self.used + need:
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        if need:
+            self.pool[self.used : self.used + need] = np.concatenate(got)
+        at = np.searchsorted(self.known, hashes)
+        self.first = np.insert(self.first, at, self.used + starts(sizes)[:-1])
+        self.size = np.insert(self.size, at, sizes)
+        self.known = np.insert(self.known, at, hashes)
+        self.used += need
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, hashes)
+        return at, np.append(self.known, np.uint64(0))[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column one after the other, and how many each text has."""
+        data, offsets = utf8(column)
+        start, stop, _ = word_spans(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        cut_at = np.flatnonzero(ALNUM[data[:-1]] & STOP[data[1:]]) + 1
+        inside = np.searchsorted(start, cut_at, "right") - 1
+        cut_at = cut_at[(cut_at > start[inside]) & (cut_at < stop[inside])]
+        start, stop = np.sort(np.append(start, cut_at)), np.sort(np.append(stop, cut_at))
+        beyond = np.append(0, np.cumsum(data > 127, dtype=np.int32))
+        plain = beyond[stop] == beyond[start]
+        hashes = np.where(plain, span_hashes(data, start, stop), span_hashes(data, start, stop, fold=False)) if not plain.all() else span_hashes(data, start, stop)
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, have = self._find(distinct)
+        if len(self.known) + int((~have).sum()) > CACHED_WORDS:
+            self._clear()
+            have = np.zeros(len(distinct), bool)
+        new = at[~have]
+        self._learn(distinct[~have], [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)])
+        number, _ = self._find(distinct)
+        number = number[which]
+        size = self.size[number].astype(np.int64)
+        end = np.cumsum(size)
+        ids = np.empty(int(end[-1]), np.uint32)
+        for low in range(0, len(size), RUN):
+            s, e = size[low : low + RUN], end[low : low + RUN]
+            base = e[0] - s[0]
+            ids[base : e[-1]] = self.pool[np.repeat(self.first[number[low : low + RUN]] - (e - s), s) + np.arange(base, e[-1])]
+        return ids, np.diff(np.append(0, end)[np.searchsorted(start, offsets)])
 
 
 _IDS: dict[str, WordIds] = {}
@@ -132,7 +171,7 @@ def piece_rows(path: str, capacity: int, tolerance: float):
 
     def run(iterator):
         ids = word_ids(path)
-        end = END_ID.to_bytes(4, "little")
+        end = np.array([END_ID], np.uint32)
         pid = TaskContext.get().partitionId()
         open_bins: dict[int, list[list]] = {}
         bins = 0
@@ -144,28 +183,28 @@ def piece_rows(path: str, capacity: int, tolerance: float):
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema=schema)
 
-        for got in iterator:
-            for at in range(0, got.num_rows, 256):
-                doc_ids = got.column(0).slice(at, 256).to_pylist()
-                done = []
-                for doc_id, raw in zip(doc_ids, ids.texts(got.column(1).slice(at, 256).to_pylist()), strict=True):
-                    raw += end
-                    n, start, view = len(raw) // 4, 0, memoryview(raw)
-                    for length, k in cut(n, capacity, tolerance):
-                        row = [doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, k, None, None, pid, None]
-                        start += length
-                        held = open_bins.setdefault(k, [])
-                        held.append(row)
-                        if len(held) == k:
-                            place = 0
-                            for x in held:
-                                x[6], x[7] = (pid << 36) + bins, place
-                                place += x[2]
-                            bins += 1
-                            done += held
-                            open_bins[k] = []
-                if done:
-                    yield batch(done)
+        for got in batches(iterator, BATCH):
+            done, low = [], 0
+            all_ids, sizes = ids.texts(got.column(1))
+            for doc_id, size in zip(got.column(0).to_pylist(), sizes.tolist(), strict=True):
+                view = memoryview(np.append(all_ids[low : low + size], end).astype("<u4").tobytes())
+                low += size
+                n, start = size + 1, 0
+                for length, k in cut(n, capacity, tolerance):
+                    row = [doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, k, None, None, pid, None]
+                    start += length
+                    held = open_bins.setdefault(k, [])
+                    held.append(row)
+                    if len(held) == k:
+                        place = 0
+                        for x in held:
+                            x[6], x[7] = (pid << 36) + bins, place
+                            place += x[2]
+                        bins += 1
+                        done += held
+                        open_bins[k] = []
+            if done:
+                yield batch(done)
         for held in open_bins.values():
             for i, x in enumerate(held):
                 x[9] = i
