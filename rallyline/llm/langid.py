@@ -38,7 +38,9 @@ UNKNOWN = "und"
 FALSE_REJECTION = 0.01
 #: Calibration documents from which on a language has a limit of its own.
 ENOUGH = 100
-PIECE = 1 << 20
+#: Symbols scored at once, and bytes of text taken at once; bound a worker's memory.
+PIECE = 1 << 17
+BATCH = 1 << 20
 
 _LETTER: list[np.ndarray] = []
 
@@ -58,7 +60,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     lowered = [(t or "").lower().replace("\x00", " ") for t in texts]
     points = np.frombuffer(("\x00\x00\x00" + "\x00\x00\x00".join(lowered)).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) + 3 for t in lowered], np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     pad = points == 0
     letter = letters()[points]
     code = np.where(letter, (points ^ (points >> np.uint32(16))) & np.uint32(0xFFFF), np.uint32(32))
@@ -245,7 +247,7 @@ def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG) -> tuple[Mo
 
 def entropy_rows(model: Model):
     def run(iterator):
-        for batch in batches(iterator, 4 << 20):
+        for batch in batches(iterator, BATCH):
             entropies, count = model.entropies(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(entropies.tolist(), pa.list_(pa.float64()))], names=["lang", "letters", "entropies"])
 
@@ -256,7 +258,7 @@ def predict_rows(trained):
     """doc_id, text -> doc_id, lang_pred, score, cross_entropy, rejected."""
 
     def run(iterator):
-        for batch in batches(iterator, 4 << 20):
+        for batch in batches(iterator, BATCH):
             texts = batch.column(1).to_pylist()
             if trained is None:
                 lang, score, best_entropy, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)
@@ -297,7 +299,7 @@ def kept_rows(trained, text: int):
     """The rows of whole batches whose text is not rejected."""
 
     def run(iterator):
-        for batch in batches(iterator, 4 << 20):
+        for batch in batches(iterator, BATCH):
             if trained is not None:
                 model, calibration = trained.value
                 entropies, count = model.entropies(batch.column(text).to_pylist())
