@@ -14,15 +14,28 @@ def band_join(a: DataFrame, b: DataFrame, key: str, x: str, y: str, radius: int)
     return a.join(b, [key, "_b"]).filter(F.abs(F.col(x) - F.col(y)) <= radius).drop("_b")
 
 
-def contains_join(points: DataFrame, intervals: DataFrame, key: str, x: str, low: str, high: str) -> DataFrame:
-    """Points in closed intervals that don't overlap: the last interval begun, if it still runs."""
+def forward_join(a: DataFrame, b: DataFrame, key: str, x: str, y: str, low: int, high: int) -> DataFrame:
+    """Pairs with equal keys and low <= y - x <= high (low >= 0): buckets as wide as the band, a in two of them."""
+    width = max(1, high - low)
+    first = F.floor((F.col(x) + low) / width)
+    a = a.withColumn("_b", F.explode(F.array(first, first + 1)))
+    b = b.withColumn("_b", F.floor(F.col(y) / width))
+    return a.join(b, [key, "_b"]).filter((F.col(y) - F.col(x)).between(low, high)).drop("_b")
+
+
+def contains_join(points: DataFrame, intervals: DataFrame, key: str, x: str, low: str, high: str, carry: list[str] | None = None) -> DataFrame:
+    """Points in closed intervals that don't overlap: the last interval begun, if it still runs, as ``low`` and its ``carry``."""
+    carry = carry or []
     rows = points.withColumn("_low", F.col(x)).withColumn("_point", F.lit(1)).withColumn("_high", F.lit(None).cast("long"))
-    other = intervals.select(key, F.col(low).alias("_low"), F.col(high).alias("_high"), F.lit(0).alias("_point"))
+    other = intervals.select(key, F.col(low).alias("_low"), F.col(high).alias("_high"), F.lit(0).alias("_point"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     w = Window.partitionBy(key).orderBy("_low", "_point").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(other, allowMissingColumns=True)
-    both = both.withColumn("_at", F.last(F.when(F.col("_point") == 0, F.struct("_low", "_high")), ignorenulls=True).over(w))
-    both = both.filter("_point = 1").withColumn("low", F.when(F.col("_at._high") >= F.col(x), F.col("_at._low")))
-    return both.drop("_low", "_point", "_high", "_at")
+    begun = F.struct("_low", "_high", *[f"_c_{c}" for c in carry])
+    both = both.withColumn("_at", F.last(F.when(F.col("_point") == 0, begun), ignorenulls=True).over(w))
+    runs = F.col("_at._high") >= F.col(x)
+    both = both.filter("_point = 1").withColumn("low", F.when(runs, F.col("_at._low")))
+    both = both.withColumns({c: F.when(runs, F.col(f"_at._c_{c}")) for c in carry}) if carry else both
+    return both.drop("_low", "_point", "_high", "_at", *[f"_c_{c}" for c in carry])
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, t: str, value: str, version: str) -> DataFrame:
@@ -35,56 +48,42 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, t: str, value: str,
     return both.filter("_side = 1").drop("_side", "_v", "_value")
 
 
-def match_rows(tolerance: int):
-    """Order-keeping one-to-one matching of two sorted series: most pairs, then least total error.
+def solve_matching(found: list[int], gold: list[int], reach: list[int]) -> list[tuple[int, int]]:
+    """Order-keeping one-to-one pairs (found, gold) within each gold's reach: most pairs, then least total error.
 
-    Series are cut where no pair can reach across, which bounds the table of each part.
+    The best value of each prefix is one integer (pairs before error), and a row of the
+    table follows from the one before in three vector steps. The way back prefers a match,
+    then leaving out the last found, then the last gold.
     """
-
-    def solve(gold: list[int], found: list[int]) -> list[tuple[int, int]]:
-        n, m = len(gold), len(found)
-        best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                options = [best[i + 1][j], best[i][j + 1]]
-                error = abs(gold[i] - found[j])
-                if error <= tolerance:
-                    c, e = best[i + 1][j + 1]
-                    options.append((c + 1, e - error))
-                best[i][j] = max(options)
-        out, i, j = [], 0, 0
-        while i < n and j < m:
-            error = abs(gold[i] - found[j])
-            c, e = best[i + 1][j + 1]
-            if error <= tolerance and best[i][j] == (c + 1, e - error):
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i][j] == best[i][j + 1]:
-                j += 1
-            else:
-                i += 1
-        return out
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["at", "role", "id"]).reset_index(drop=True)
-        rows, part, last = [], [], None
-
-        def flush():
-            gold = [r for r in part if r[2] == 0]
-            found = [r for r in part if r[2] == 1]
-            for i, j in solve([r[1] for r in gold], [r[1] for r in found]):
-                rows.append((int(pdf["video"].iloc[0]), gold[i][0], found[j][0], found[j][1] - gold[i][1]))
-            part.clear()
-
-        for r in zip(pdf["id"].tolist(), pdf["at"].tolist(), pdf["role"].tolist(), strict=True):
-            if last is not None and r[1] - last > tolerance:
-                flush()
-            part.append(r)
-            last = r[1]
-        if part:
-            flush()
-        return pd.DataFrame(rows, columns=["video", "gold_id", "found_id", "error"])
-
-    return run
+    import numpy as np
+
+    at, limit = np.array(gold, np.int64), np.array(reach, np.int64)
+    unit = np.int64(1) << 40
+    table = np.zeros((len(found) + 1, len(gold) + 1), np.int64)
+    for i, f in enumerate(found):
+        error = np.abs(at - f)
+        taken = np.where(error <= limit, table[i, :-1] + unit - error, -1)
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], taken))
+    out, i, j = [], len(found), len(gold)
+    while i and j:
+        error = abs(gold[j - 1] - found[i - 1])
+        if error <= reach[j - 1] and table[i, j] == table[i - 1, j - 1] + unit - error:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif table[i, j] == table[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def solve_part(pdf):
+    """Matches of one part: rows of at, role (0 gold, 1 found), id and the gold's reach."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(["at", "role", "id"], kind="stable")
+    gold, found = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+    pairs = solve_matching(found["at"].tolist(), gold["at"].tolist(), gold["reach"].astype("int64").tolist())
+    key = {c: pdf[c].iloc[0] for c in ("tolerance", "allowance", "video")}
+    f, g = found.iloc[[i for i, _ in pairs]], gold.iloc[[j for _, j in pairs]]
+    return pd.DataFrame({**{c: [v] * len(pairs) for c, v in key.items()}, "event_id": f["id"].tolist(), "candidate_frame": f["at"].tolist(), "hit_frame": g["at"].tolist()}, dtype=object)

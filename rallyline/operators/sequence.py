@@ -27,12 +27,17 @@ def runs(df: DataFrame, key: list[str], order: list[str], flag: str) -> DataFram
     return out.drop("_g")
 
 
-def merge_intervals(df: DataFrame, key: list[str], low: str, high: str, adjacent: int = 1) -> DataFrame:
-    """Union of closed integer intervals; ends that are ``adjacent`` apart meet."""
+def islands(df: DataFrame, key: list[str], low: str, high: str, adjacent: int = 1) -> DataFrame:
+    """Rows with the number ``_i`` of the island of closed intervals they belong to; ends that are ``adjacent`` apart meet."""
     w = by(key, low, high)
     before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_new", (before.isNull() | (F.col(low) > before + adjacent)).cast("int"))
-    df = df.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def merge_intervals(df: DataFrame, key: list[str], low: str, high: str, adjacent: int = 1) -> DataFrame:
+    """Union of closed integer intervals."""
+    df = islands(df, key, low, high, adjacent)
     return df.groupBy(*key, "_i").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(F.lit(1)).alias("n")).drop("_i")
 
 
@@ -42,10 +47,6 @@ def local_maxima(df: DataFrame, key: list[str], order: list[str], value: str, ra
     return df.withColumn("_max", F.max(value).over(w)).filter(F.col(value) == F.col("_max")).drop("_max")
 
 
-def next_in(df: DataFrame, key: list[str], order: list[str], column: str, steps: int = 1) -> Column:
-    return F.lead(column, steps).over(by(key, *order))
-
-
 def labelled_windows(df: DataFrame, key: list[str], at: str, value: str, label: str, size: int = 12, first: int = 6) -> DataFrame:
     """Rows that begin ``size`` contiguous places: ``window`` of values, and ``window_label``.
 
@@ -63,34 +64,24 @@ def labelled_windows(df: DataFrame, key: list[str], at: str, value: str, label:
     return df.withColumn("window_label", one).drop("_step", "_steps", "_n", "_found")
 
 
-def separated(key: list[str], t: str, tie: str, value: str, gap: int):
-    """Greedy suppression: a row nearer than ``gap`` to the last kept replaces it if greater, else goes."""
+def anchored(df: DataFrame, key: list[str], at: str, tie: str, span: int) -> DataFrame:
+    """Rows with ``grp``: groups that reach at most ``span`` beyond their first row, numbered from 1 by key.
 
-    def run(pdf):
-        kept: list[int] = []
-        pdf = pdf.sort_values([t, tie]).reset_index(drop=True)
-        times, values = pdf[t].tolist(), pdf[value].tolist()
-        for i, (at, v) in enumerate(zip(times, values, strict=True)):
-            if kept and at - times[kept[-1]] < gap:
-                if v > values[kept[-1]]:
-                    kept[-1] = i
-            else:
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return run
-
-
-def anchored(t: str, tie: str, span: int):
-    """Groups that reach at most ``span`` beyond their first row."""
-
-    def run(pdf):
-        pdf = pdf.sort_values([t, tie]).reset_index(drop=True)
-        first, number, out = None, 0, []
-        for at in pdf[t].tolist():
-            if first is None or at - first > span:
-                first, number = at, number + 1
-            out.append(number)
-        return pdf.assign(grp=out)
-
-    return run
+    Rows are cut where neighbours lie more than ``span`` apart, for a group begins there
+    whatever came before; each run is folded by an expression.
+    """
+    w = by(key, at, tie)
+    df = df.withColumn("_cut", F.coalesce((F.col(at) - F.lag(at).over(w) > span).cast("int"), F.lit(1)))
+    df = df.withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs_ = df.groupBy(*key, "_run").agg(F.sort_array(F.collect_set(at)).alias("_ats"))
+    first = F.slice("_ats", 1, 1)
+
+    def step(anchors: Column, t: Column) -> Column:
+        return F.when(t - F.element_at(anchors, -1) > span, F.concat(anchors, F.array(t))).otherwise(anchors)
+
+    runs_ = runs_.select(*key, "_run", F.aggregate("_ats", first, step).alias("_anchors"))
+    before = F.sum(F.size("_anchors")).over(by(key, "_run").rowsBetween(Window.unboundedPreceding, -1))
+    runs_ = runs_.withColumn("_before", F.coalesce(before, F.lit(0)))
+    df = df.join(runs_, [*key, "_run"])
+    mine = F.size(F.filter("_anchors", lambda a: a <= F.col(at)))
+    return df.withColumn("grp", (F.col("_before") + mine).cast("long")).drop("_cut", "_run", "_anchors", "_before")

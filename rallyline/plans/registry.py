@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyline import functions as fn
-from rallyline.operators import joins, sequence
+from rallyline.operators import evaluation, hits, joins, resample, sequence
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -145,9 +145,9 @@ def agg30(spark, d):
 
 @query("agg02_05_percentiles", f"WITH {EV}, a AS (SELECT video, list(value ORDER BY value) AS v, quantile_cont(value, 0.9) AS lin FROM ev GROUP BY video) SELECT video, v[CAST(round_even((len(v) - 1) * 0.9::DOUBLE, 0) AS INT) + 1] AS nearest, v[CAST(floor((len(v) - 1) * 0.9::DOUBLE) AS INT) + 1] AS truncated, v[CAST(ceil((len(v) - 1) * 0.9::DOUBLE) AS INT) + 1] AS higher, round(lin, 6) AS linear FROM a")
 def agg02(spark, d):
-    a = ev(spark, d).groupBy("video").agg(F.array_sort(F.collect_list("value")).alias("v"), F.percentile("value", F.lit(0.9)).alias("lin"))
-    v = F.col("v")
-    return a.select("video", fn.nearest_rank(v, 0.9).alias("nearest"), fn.truncated_rank(v, 0.9).alias("truncated"), fn.higher_rank(v, 0.9).alias("higher"), F.round("lin", 6).alias("linear"))
+    wanted = {"nearest": (0.9, "nearest"), "truncated": (0.9, "truncated"), "higher": (0.9, "higher")}
+    lin = ev(spark, d).groupBy("video").agg(F.percentile("value", F.lit(0.9)).alias("lin"))
+    return fn.order_statistics(ev(spark, d), ["video"], "value", wanted).join(lin, "video").select("video", "nearest", "truncated", "higher", F.round("lin", 6).alias("linear"))
 
 
 @query("agg06_median_mad", f"WITH {EV}, m AS (SELECT video, median(value) AS med FROM ev GROUP BY video) SELECT video, round(max(med), 6) AS med, round(median(abs(value - med)), 6) AS mad FROM ev JOIN m USING (video) GROUP BY video")
@@ -176,43 +176,19 @@ def agg33(spark, d):
     return deltas(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("med"), F.count_if(x > 1e-12).alias("pos"), F.count_if(x < -1e-12).alias("neg"), F.round(100 * F.avg(F.when(x > 1e-12, 1.0).when(x < -1e-12, 0.0).otherwise(0.5)), 6).alias("tendency"))
 
 
-@query("agg40_leave_one_out", f"WITH {DELTA}, a AS (SELECT video, (sum(delta) OVER () - delta) / (count(*) OVER () - 1) AS m, sum(delta) OVER () AS t FROM dl) SELECT video, round(m, 6) AS rest_mean, sign(m) = sign(t) AS stable FROM a")
+@query("agg40_leave_one_out", f"WITH {DELTA}, a AS (SELECT video, (sum(delta) OVER () - delta) / nullif(count(*) OVER () - 1, 0) AS m, sum(delta) OVER () AS t FROM dl) SELECT video, round(m, 6) AS rest_mean, sign(m) = sign(t) AS stable FROM a")
 def agg40(spark, d):
     t = deltas(spark, d)
     whole = t.agg(F.sum("delta").alias("t"), F.count(F.lit(1)).alias("k"))
-    t = t.crossJoin(F.broadcast(whole)).withColumn("m", (F.col("t") - F.col("delta")) / (F.col("k") - 1))
+    t = t.crossJoin(F.broadcast(whole)).withColumn("m", fn.ratio(F.col("t") - F.col("delta"), F.col("k") - 1))
     return t.select("video", F.round("m", 6).alias("rest_mean"), (F.signum("m") == F.signum("t")).alias("stable"))
 
 
-@query("agg35_bootstrap", f"WITH {DELTA}, o AS (SELECT row_number() OVER (ORDER BY video) - 1 AS i, delta, count(*) OVER () AS k FROM dl), r AS (SELECT rep, ('0x' || substr(md5('7:' || rep || ':' || i), 1, 8))::BIGINT % k AS pick FROM o CROSS JOIN range(100) t(rep)), m AS (SELECT rep, avg(delta) AS mean FROM r JOIN o ON o.i = r.pick GROUP BY rep) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m")
+@query("agg35_bootstrap", f"WITH {DELTA}, o AS (SELECT row_number() OVER (ORDER BY video) - 1 AS i, delta, count(*) OVER () AS k FROM dl), r AS (SELECT rep, ('0x' || substr(md5('7:' || rep || ':' || i), 1, 8))::BIGINT % k AS pick FROM o CROSS JOIN range(10000) t(rep)), m AS (SELECT rep, avg(delta) AS mean FROM r JOIN o ON o.i = r.pick GROUP BY rep) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m")
 def agg35(spark, d):
-    """Percentile interval of the mean; resamples are drawn by a hash, so reruns agree."""
-    o = deltas(spark, d).withColumn("i", F.row_number().over(Window.orderBy("video")) - 1)
-    k = o.agg(F.count(F.lit(1)).alias("k"))
-    r = o.crossJoin(F.broadcast(k)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("7"), F.col("rep"), F.col("i"))), 1, 8), 16, 10).cast("long") % F.col("k")
-    r = r.select("rep", pick.alias("i")).join(o.select("i", "delta"), "i")
-    m = r.groupBy("rep").agg(F.avg("delta").alias("mean"))
-    return m.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
-
-
-#: Resamples of the reference (research/shi_player_profile_v2.py).
-REPETITIONS = 10_000
-
-
-def bootstrap_interval(values: DataFrame, repetitions: int) -> DataFrame:
-    """Percentile interval of the mean of ``delta`` (i, delta; i from 0 on), resampled by a hash."""
-    k = values.agg(F.count(F.lit(1)).alias("k"))
-    r = values.repartition("i").crossJoin(F.broadcast(k)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("7"), F.col("rep"), F.col("i"))), 1, 8), 16, 10).cast("long") % F.col("k")
-    m = r.select("rep", pick.alias("i")).join(values.select("i", "delta"), "i").groupBy("rep").agg(F.avg("delta").alias("mean"))
-    return m.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
-
-
-@query("agg35_bootstrap_10000")
-def agg35_whole(spark, d):
-    """agg35_bootstrap with the reference's number of resamples; tested by brute force."""
-    return bootstrap_interval(deltas(spark, d).withColumn("i", F.row_number().over(Window.orderBy("video")) - 1), REPETITIONS)
+    """Percentile interval of the mean over 10 000 resamples, drawn by a hash, so that reruns agree."""
+    out = resample.bootstrap(deltas(spark, d), [], "delta", ["video"])
+    return out.select(F.round("ci_low", 6).alias("low"), F.round("ci_high", 6).alias("high"))
 
 
 @query("win01_stencil", f"WITH {EV}, w AS (SELECT video, id, value, lag(value) OVER o AS a, lead(value) OVER o AS b, frame - lag(frame) OVER o AS g1, lead(frame) OVER o - frame AS g2 FROM ev WINDOW o AS (PARTITION BY video ORDER BY us, id)) SELECT video, id, round(abs(b - 2 * value + a) / greatest(abs(value - a), abs(b - value), 1), 6) AS change FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND g1 <= 600 AND g2 <= 600")
@@ -309,7 +285,7 @@ def join02(spark, d):
 def join03(spark, d):
     e = ev(spark, d).select("video", F.col("id").alias("id_a"), F.col("side").alias("sa"), F.col("frame").alias("fa"))
     o = ev(spark, d).select("video", F.col("id").alias("id_b"), F.col("side").alias("sb"), F.col("frame").alias("fb"))
-    return joins.band_join(e, o, "video", "fa", "fb", 240).filter("sa <> sb and fb - fa >= 10").select("video", "id_a", "id_b")
+    return joins.forward_join(e, o, "video", "fa", "fb", 10, 240).filter("sa <> sb").select("video", "id_a", "id_b")
 
 
 @query("join04_containment", SQL["win14_merge"].replace("SELECT video, min", ", iv AS (SELECT video, min").rstrip() + ") SELECT e.video, e.id, iv.low FROM ev e LEFT JOIN iv ON iv.video = e.video AND e.frame + 100 BETWEEN iv.low AND iv.high")
@@ -360,26 +336,26 @@ def join24(spark, d):
 @query("join09_matching")
 def join09(spark, d):
     """Most pairs within the tolerance, then least error; too sequential for SQL, tested by brute force."""
-    e = ev(spark, d).filter("cls in ('purchase', 'click')")
-    rows = e.select("video", "id", F.col("frame").alias("at"), (F.col("cls") == "click").cast("int").alias("role"))
-    return rows.groupBy("video").applyInPandas(joins.match_rows(120), "video long, gold_id long, found_id long, error long")
+    e = ev(spark, d)
+    c = e.filter("cls = 'click'").select("video", F.col("id").alias("event_id"), F.col("frame").alias("candidate_frame"))
+    g = e.filter("cls = 'purchase'").select("video", F.col("frame").alias("hit_frame"), F.lit(0).alias("uncertainty_frames"))
+    m = evaluation.match(c, g, (120,))
+    return m.select("video", F.col("event_id").alias("found_id"), F.col("hit_frame").alias("gold"), (F.col("candidate_frame") - F.col("hit_frame")).alias("error"))
 
 
 @query("win08_separation", f"WITH RECURSIVE {EV}, o AS (SELECT video, id, us, frame, score, row_number() OVER (PARTITION BY video ORDER BY frame, id) AS k FROM ev), r AS (SELECT video, k, id, frame, score, 1 AS grp FROM o WHERE k = 1 UNION ALL SELECT o.video, o.k, CASE WHEN o.frame - r.frame >= 600 OR o.score > r.score THEN o.id ELSE r.id END, CASE WHEN o.frame - r.frame >= 600 OR o.score > r.score THEN o.frame ELSE r.frame END, CASE WHEN o.frame - r.frame >= 600 OR o.score > r.score THEN o.score ELSE r.score END, CASE WHEN o.frame - r.frame >= 600 THEN r.grp + 1 ELSE r.grp END FROM r JOIN o ON o.video = r.video AND o.k = r.k + 1) SELECT video, arg_max(id, k) AS id FROM r GROUP BY video, grp")
 def win08(spark, d):
-    e = ev(spark, d).select("video", "id", "frame", "score")
-    return e.groupBy("video").applyInPandas(sequence.separated(["video"], "frame", "id", "score", 600), e.schema).select("video", "id")
+    return hits.separate(ev(spark, d).select("video", "id", "frame", "score"), ["video"], "frame", "score", 600, "id").select("video", "id")
 
 
 @query("win34_anchored", f"WITH RECURSIVE {EV}, o AS (SELECT video, id, frame, row_number() OVER (PARTITION BY video ORDER BY frame, id) AS k FROM ev), r AS (SELECT video, k, id, frame AS first, 1 AS grp FROM o WHERE k = 1 UNION ALL SELECT o.video, o.k, o.id, CASE WHEN o.frame - r.first > 600 THEN o.frame ELSE r.first END, CASE WHEN o.frame - r.first > 600 THEN r.grp + 1 ELSE r.grp END FROM r JOIN o ON o.video = r.video AND o.k = r.k + 1) SELECT video, id, CAST(grp AS BIGINT) AS grp FROM r")
 def win34(spark, d):
-    e = ev(spark, d).select("video", "id", "frame")
-    return e.groupBy("video").applyInPandas(sequence.anchored("frame", "id", 600), "video long, id long, frame long, grp long").select("video", "id", "grp")
+    return sequence.anchored(ev(spark, d).select("video", "id", "frame"), ["video"], "frame", "id", 600).select("video", "id", "grp")
 
 
-@query("agg01_quality", f"WITH {EV} SELECT count(*) AS rows_all, count(DISTINCT video) AS videos, round(count(*) FILTER (WHERE score >= 0.1) / count(*), 6) AS coverage, round(avg(score), 6) AS mean_score FROM ev")
+@query("agg01_quality", f"WITH {EV} SELECT count(*) AS rows_all, count(DISTINCT video) AS videos, round(count(*) FILTER (WHERE score >= 0.1) / nullif(count(*), 0), 6) AS coverage, round(avg(score), 6) AS mean_score FROM ev")
 def agg01(spark, d):
-    return ev(spark, d).agg(F.count(F.lit(1)).alias("rows_all"), F.count_distinct("video").alias("videos"), F.round(F.count_if(F.col("score") >= 0.1) / F.count(F.lit(1)), 6).alias("coverage"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return ev(spark, d).agg(F.count(F.lit(1)).alias("rows_all"), F.count_distinct("video").alias("videos"), F.round(fn.ratio(F.count_if(F.col("score") >= 0.1), F.count(F.lit(1))), 6).alias("coverage"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @query("agg07_precision_recall", f"WITH {PAIR}, m AS (SELECT g.id AS g, f.id AS f FROM gold g JOIN found f ON g.video = f.video AND abs(g.frame - f.frame) <= 120) SELECT round((SELECT count(DISTINCT f) FROM m) / greatest((SELECT count(*) FROM found), 1), 6) AS covered_found, round((SELECT count(DISTINCT g) FROM m) / greatest((SELECT count(*) FROM gold), 1), 6) AS recall")
@@ -416,11 +392,14 @@ def agg19(spark, d):
     return r.groupBy("video").agg(*[F.round(F.count_if(F.col("n") >= k) / F.count(F.lit(1)), 6).alias(name) for k, name in ((2, "two"), (4, "four"))])
 
 
-@query("agg21_entry", f"WITH {SESS}, l AS (SELECT video, session, cls, lead(cls) OVER o AS a, lead(cls, 2) OVER o AS b FROM s WINDOW o AS (PARTITION BY video, session ORDER BY us, id)), r AS (SELECT video, session, bool_or(a = 'purchase' OR coalesce(b = 'purchase', false)) AS hit FROM l WHERE cls = 'view' AND a IS NOT NULL GROUP BY ALL) SELECT video, round(count(*) FILTER (WHERE hit) / count(*), 6) AS entry FROM r GROUP BY video")
+@query("agg21_entry", f"WITH {SESS}, l AS (SELECT video, session, cls, lead(cls) OVER o AS a, lead(cls, 2) OVER o AS b FROM s WINDOW o AS (PARTITION BY video, session ORDER BY us, id)), r AS (SELECT video, session, bool_or(a = 'purchase' OR coalesce(b = 'purchase', false)) AS hit FROM l WHERE cls = 'view' AND (coalesce(a <> 'error', false) OR coalesce(b <> 'error', false)) GROUP BY ALL) SELECT video, round(count(*) FILTER (WHERE hit) / count(*), 6) AS entry FROM r GROUP BY video")
 def agg21(spark, d):
+    """Sessions in which a view is followed by a purchase within two events, of those where a classified event (not an error) follows."""
     w = sequence.by(["video", "session"], "us", "id")
-    e = sess(spark, d).select("video", "session", "cls", F.lead("cls").over(w).alias("a"), F.lead("cls", 2).over(w).alias("b")).filter("cls = 'view' and a is not null")
-    r = e.groupBy("video", "session").agg(F.bool_or((F.col("a") == "purchase") | F.coalesce(F.col("b") == "purchase", F.lit(False))).alias("hit"))
+    e = sess(spark, d).select("video", "session", "cls", F.lead("cls").over(w).alias("a"), F.lead("cls", 2).over(w).alias("b"))
+    e = e.filter("cls = 'view' and (coalesce(a <> 'error', false) or coalesce(b <> 'error', false))")
+    yes = F.coalesce(F.col("a") == "purchase", F.lit(False)) | F.coalesce(F.col("b") == "purchase", F.lit(False))
+    r = e.groupBy("video", "session").agg(F.bool_or(yes).alias("hit"))
     return r.groupBy("video").agg(F.round(F.count_if("hit") / F.count(F.lit(1)), 6).alias("entry"))
 
 
@@ -428,7 +407,8 @@ def agg21(spark, d):
 def agg45(spark, d):
     u, y = F.col("side") == "upper", F.col("score") > 0.1
     t = ev(spark, d).agg(F.count(F.lit(1)).alias("t"), F.count_if(u == y).alias("agree"), F.count_if(u).alias("u"), F.count_if(y).alias("p"))
-    t = t.select((F.col("agree") / F.col("t")).alias("po"), ((F.col("u") / F.col("t")) * (F.col("p") / F.col("t")) + (1 - F.col("u") / F.col("t")) * (1 - F.col("p") / F.col("t"))).alias("pe"))
+    u, p = fn.ratio(F.col("u"), F.col("t")), fn.ratio(F.col("p"), F.col("t"))
+    t = t.select(fn.ratio(F.col("agree"), F.col("t")).alias("po"), (u * p + (1 - u) * (1 - p)).alias("pe"))
     return t.select(F.round("po", 6).alias("agreement"), F.when(F.abs(1 - F.col("pe")) < 1e-12, None).otherwise(F.round((F.col("po") - F.col("pe")) / (1 - F.col("pe")), 6)).alias("kappa"))
 
 
@@ -437,16 +417,6 @@ def agg52(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-ZONES = "z AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 6.1 / 50 AS x, l_discount * 134 AS y, CASE WHEN l_returnflag = 'A' THEN 'upper' ELSE 'lower' END AS side FROM lineitem)"
-
-
-@query("scl06_09_zones", f"WITH {ZONES}, q AS (SELECT *, CASE WHEN side = 'upper' THEN 6.7 - y ELSE y - 6.7 END AS dd FROM z), p AS (SELECT *, CASE WHEN dd < 0 OR dd > 6.7 THEN NULL WHEN dd < 13.4::DOUBLE / 6 THEN 'front' WHEN dd < 2 * (13.4::DOUBLE / 6) THEN 'mid' ELSE 'back' END AS depth, CASE WHEN x < 0 OR x > 6.1 THEN NULL WHEN x < 6.1::DOUBLE / 3 THEN 'left' WHEN x < 2 * 6.1::DOUBLE / 3 THEN 'middle' ELSE 'right' END AS width FROM q) SELECT depth, width, depth || '-' || width AS zone, CASE WHEN x < 6.1::DOUBLE / 6 OR x > 6.1 - 6.1::DOUBLE / 6 THEN 'line' ELSE 'centre' END AS line, count(*) AS n FROM p GROUP BY ALL")
-def scl06(spark, d):
-    z = table(spark, d, "lineitem").select((F.col("l_quantity") * 6.1 / 50).alias("x"), (F.col("l_discount") * 134).alias("y"), F.when(F.col("l_returnflag") == "A", "upper").otherwise("lower").alias("side"))
-    z = z.select(fn.depth_zone(F.col("side"), F.col("y")).alias("depth"), fn.width_zone(F.col("x")).alias("width"), fn.line_class(F.col("x")).alias("line"))
-    return z.withColumn("zone", fn.zone9(F.col("depth"), F.col("width"))).groupBy("depth", "width", "zone", "line").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("scl13_14_json_seed", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, ('0x' || substr(sha256(event_type), 1, 8))::BIGINT AS seed FROM events")
 def scl13(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.conv(F.substring(F.sha2("event_type", 256), 1, 8), 16, 10).cast("long").alias("seed"))
@@ -480,3 +450,6 @@ def srt08(spark, d):
 def flt14(spark, d):
     c = ev(spark, d).groupBy("video", "side").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("video").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).filter("k = 2 and least >= 5").select("video", "least")
+
+
+from rallyline.plans import frames, labels, matches  # noqa: E402, F401
