@@ -206,9 +206,14 @@ def bucket_of(g: np.ndarray, bits: int) -> np.ndarray:
     return (g >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def batches(iterator, limit: int = 16 << 20):
-    """Record batches in slices of about ``limit`` bytes of text, at least a row each."""
+def batches(iterator, limit: int = 4 << 20):
+    """Record batches in slices of about ``limit`` bytes of text, at least a row each.
+
+    Arrays made of a slice take some twenty times its bytes, which bounds a worker's memory;
+    what Arrow holds of them is given back at the end, for workers are used again.
+    """
     for batch in iterator:
         rows = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

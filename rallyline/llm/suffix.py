@@ -4,8 +4,10 @@ Every string of ``width`` bytes has a minimiser: the place of its least hashed G
 string. Equal strings have equal minimisers at equal places, so a run of string starts
 with one minimiser (a segment) only needs comparing with the segments of that minimiser.
 Segments whose minimiser occurs once are done. Segments equal as a whole are repeated as
-a whole. The distinct segments left of a minimiser are suffix-sorted together, and a
-string is repeated when a neighbour in suffix order starts with the same bytes.
+a whole. Of the distinct segments left of a minimiser, runs of strings whose hash does not
+occur again there are cut off (equal strings have equal hashes), runs with equal bytes are
+taken together, and the distinct ones are suffix-sorted: a string is repeated when a
+neighbour in suffix order starts with the same bytes.
 
 Suffixes are sorted by linear grouping (see ``suffix_order``). A minimiser with more than
 MOST distinct segments (near copies of one passage in very many documents) is not brought
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import BASE, CHUNK, Scratch, batches, load, mix, powers, prefix_hash, signed, utf8
+from rallyline.llm._base import BASE, CHUNK, Scratch, batches, load, mix, powers, prefix_hash, signed, starts, utf8
 
 WIDTH = 200
 GRAM = 64
 LONG_GRAM = 160
 #: Distinct segments of a minimiser that are sorted together.
 MOST = 1024
+#: Bytes of segments whose groups are looked through together.
+GROUPED = 1 << 18
 PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -84,7 +88,7 @@ def segment_rows(width: int):
     """key, text -> key, start, n, h, seg."""
 
     def run(iterator):
-        for batch in batches(iterator, 8 << 20):
+        for batch in batches(iterator, 4 << 20):
             doc, start, n, h, seg = segments(*utf8(batch.column(1)), width)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(start), pa.array(n), pa.array(signed(h)), pa.array(signed(seg))], names=["key", "start", "n", "h", "seg"])
@@ -204,9 +208,9 @@ def repeated(texts: list[bytes], width: int) -> list[list[int]]:
     return out
 
 
-def runs(starts: list[int]) -> list[tuple[int, int]]:
+def runs(places: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s in starts:
+    for s in places:
         if out and out[-1][1] == s:
             out[-1] = (out[-1][0], s + 1)
         else:
@@ -214,29 +218,88 @@ def runs(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def candidates(group: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, end of starts) of runs of strings whose hash occurs again in their group.
+
+    Equal strings have equal hashes, so that no repeated string is left out; whether
+    those named are repeated is for the suffix order to say.
+    """
+    hashes, texts, places = [], [], []
+    for low in range(0, len(data) - width + 1, CHUNK):
+        high = min(low + CHUNK, len(data) - width + 1)
+        piece = data[low : high + width - 1]
+        sums = prefix_hash(piece)
+        _, down = powers(len(piece))
+        at = np.arange(low, high)
+        text = np.searchsorted(offsets, at, "right") - 1
+        fits = offsets[text + 1] - at >= width
+        hashes.append(mix((sums[width:] - sums[:-width]) * down[: high - low] + group[text])[fits])
+        texts.append(text[fits])
+        places.append((at - offsets[text])[fits])
+    if not hashes:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    h, text, place = np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
+    ranked = np.sort(h)
+    again = ranked[1:][ranked[1:] == ranked[:-1]]
+    kept = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h if len(again) else np.zeros(len(h), bool)
+    text, place = text[kept], place[kept]
+    if not len(text):
+        return text, place, place
+    new = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1))
+    first = np.flatnonzero(new)
+    return text[first], place[first], place[np.append(first[1:], len(place)) - 1] + 1
+
+
+def group_spans(h: np.ndarray, c: np.ndarray, key: np.ndarray, start: np.ndarray, raw: pa.Array, width: int) -> pa.RecordBatch:
+    """Spans (key, low, high) of whole groups of segments; those of segments with c > 1 are known already."""
+    data, offsets = utf8(raw)
+    text, low, high = candidates(h.view(np.uint64), data, offsets, width)
+    rows = []
+    pieces = zip(h[text].tolist(), c[text].tolist(), key[text].tolist(), (start[text] + low).tolist(), (offsets[text] + low).tolist(), (high - low).tolist(), strict=True)
+    for _, mine in groupby(pieces, key=lambda r: r[0]):
+        places: dict[bytes, list] = {}
+        for _, copies, k, at, begin, n in mine:
+            places.setdefault(data[begin : begin + n - 1 + width].tobytes(), []).append((copies, k, at))
+        several = {t: len(x) > 1 or x[0][0] > 1 for t, x in places.items()}
+        again = dict(zip(places, repeated(list(places), width), strict=True)) if len(places) > 1 and not all(several.values()) else {}
+        for t, found in places.items():
+            spans = [(0, len(t) - width + 1)] if several[t] else runs(again.get(t, []))
+            rows += [(k, at + a, at + b - 1 + width) for copies, k, at in found if copies == 1 for a, b in spans]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["key", "low", "high"])
+
+
 def sorted_groups(width: int):
-    """Rows (h, c, key, start, bytes) sorted by h -> spans (key, low, high) of segments with c = 1."""
+    """Rows (h, c, key, start, bytes) sorted by h -> spans (key, low, high) of segments with c = 1.
 
-    def run(iterator):
-        held, name = [], None
+    Whole groups are taken together, about GROUPED bytes of them at a time.
+    """
 
-        def found():
-            rows = []
-            for (_, c, key, start, _), starts in zip(held, repeated([x[4] for x in held], width), strict=True):
-                if c == 1:
-                    rows += [(key, start + a, start + b - 1 + width) for a, b in runs(starts)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["key", "low", "high"])
+    def spans(rows: pa.RecordBatch):
+        h, sizes = rows.column(0).to_numpy(zero_copy_only=False), np.diff(utf8(rows.column(4))[1])
+        edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
+        ends, low = starts(sizes)[edges], 0
+        while low < len(edges) - 1:
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + GROUPED, "right")) - 1)
+            some = rows.slice(edges[low], edges[high] - edges[low])
+            yield group_spans(*[some.column(i).to_numpy(zero_copy_only=False) for i in range(4)], some.column(4), width)
+            low = high
 
+    def run(iterator):
+        held: list[pa.RecordBatch] = []
         for batch in iterator:
-            rows = zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True)
-            for h, mine in groupby(rows, key=lambda r: r[0]):
-                if h != name and held:
-                    yield found()
-                name = h
-                held += mine
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            if h[0] == h[-1]:  # the group may go on
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            edge = whole.num_rows - batch.num_rows + int(np.searchsorted(h, h[-1]))
+            held = [whole.slice(edge)]
+            yield from spans(whole.slice(0, edge))
         if held:
-            yield found()
+            yield from spans(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
@@ -284,9 +347,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(key, spans): the byte ranges of each text covered by strings that occur elsewhere too."""
     texts = keyed(docs).select(F.col("_key").alias("key"), "text")
     every = scratch.write(texts.mapInArrow(segment_rows(width), "key long, start long, n long, h long, seg long"), "segments")
-    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    shared = scratch.write(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "common")  # apart, so that a common one can be split in the join
     some = scratch.write(every.join(shared, "h", "left_semi"), "shared")
-    scratch.drop(every)
+    for table in (every, shared):
+        scratch.drop(table)
     kinds = some.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n")).alias("rep"))
     kinds = scratch.write(kinds.select("h", "seg", "c", "rep.key", "rep.start", "rep.n"), "kinds")
     scratch.release()
