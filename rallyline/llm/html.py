@@ -43,6 +43,7 @@ BROADCAST = 16 << 20
 SALTS = 64
 #: Children of a wrapper node that are kept apart; beyond, those of one tag become one repeated node.
 FANOUT = 48
+#: Block elements within each other that are aligned; what lies deeper counts as text of the last one, whole.
 DEPTH = 40
 #: Pages of a host from which on a text that all of them have is taken out of the region.
 SUPPORT = 5
@@ -70,10 +71,17 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """Tree of elements; strings among the children are text, not yet decoded."""
+    """Tree of elements, however deep; strings among the children are text, not yet decoded."""
     root = Node("#root")
     stack = [root]
+    inside: dict[str, int] = {}
     at = 0
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            inside[x.tag] -= 1
+        del stack[k:]
+
     while True:
         m = TOKEN.search(html, at)
         if m is None:
@@ -86,19 +94,17 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if inside.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
-        if tag in BLOCK and any(x.tag == "p" for x in stack):  # a block element ends an open paragraph
-            k = max(i for i, x in enumerate(stack) if x.tag == "p")
+        if tag in BLOCK and inside.get("p"):  # a block element ends an open paragraph
+            k = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p")
             if not any(x.tag in BLOCK for x in stack[k + 1 :]):
-                del stack[k:]
-        if tag in CLOSES:
+                close(k)
+        if tag in CLOSES and any(inside.get(x) for x in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table"):
                     break
@@ -108,8 +114,9 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/") and len(stack) < 400:
+        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             stack.append(node)
+            inside[tag] = inside.get(tag, 0) + 1
 
 
 def never(node: Node) -> bool:
@@ -130,8 +137,12 @@ def shape(node: Node, depth: int = 0) -> list:
     """
     text: list[str] = []
     children: list[list] = []
-    for x in node.children:
-        if isinstance(x, str):
+    todo = [iter(node.children)]  # inline elements are gone into here, so that they may be nested at will
+    while todo:
+        x = next(todo[-1], None)
+        if x is None:
+            todo.pop()
+        elif isinstance(x, str):
             text.append(x)
         elif x.tag in BLOCK and depth < DEPTH:
             y = shape(x, depth + 1) if not never(x) else [f"{x.tag} {x.name}".strip(), "", 1, [], [x]]
@@ -140,10 +151,11 @@ def shape(node: Node, depth: int = 0) -> list:
             else:
                 children.append(y)
         elif not never(x):
-            inner = shape(x, depth + 1)
-            text.append(inner[1])
-            children += inner[3]
-    return [f"{node.tag} {node.name}".strip(), SPACE.sub(" ", " ".join(text)).strip(), 1, children, [node]]
+            text.append(" ")
+            todo.append(iter(x.children))
+            if x.tag in BLOCK:
+                text.append(" ")
+    return [f"{node.tag} {node.name}".strip(), SPACE.sub(" ", "".join(text)).strip(), 1, children, [node]]
 
 
 def fold(a: list, b: list) -> list:
@@ -342,9 +354,15 @@ def blocks(nodes: list[Node], mute: set[int], keep: set[int]) -> str:
         line.clear()
 
     def walk(node: Node, muted: bool):
-        for x in node.children:
-            if isinstance(x, str):
-                if not muted:
+        todo = [(iter(node.children), muted, False)]
+        while todo:
+            x, (_, mute_it, block) = next(todo[-1][0], None), todo[-1]
+            if x is None:
+                todo.pop()
+                if block:
+                    end()
+            elif isinstance(x, str):
+                if not mute_it:
                     line.append(x)
             elif x.tag == "br":
                 line.append(" ")
@@ -353,10 +371,9 @@ def blocks(nodes: list[Node], mute: set[int], keep: set[int]) -> str:
                     end()
             elif x.tag in BLOCK:
                 end()
-                walk(x, id(x) in mute)
-                end()
+                todo.append((iter(x.children), id(x) in mute, True))
             else:
-                walk(x, muted)
+                todo.append((iter(x.children), mute_it, False))
 
     for node in nodes:
         end()

@@ -2,7 +2,7 @@
 
 A rotation of the principal components is learned so that their signs lose little
 (iterative quantisation), on SAMPLE vectors by hash (a documented bound). Every vector
-gets a code of up to 64 signs, cut into TABLES substrings; a table holds the vectors by
+gets a code of 64 signs (random directions beyond its length), cut into TABLES substrings; a table holds the vectors by
 label and substring. Vectors whose substrings differ in at most one bit in some table are
 compared by the cosine of the original vectors, so that all codes within
 2 * TABLES - 1 bits of each other are found. A pair is counted in the first table that
@@ -38,8 +38,12 @@ BLOCK = 512
 
 
 def rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): principal components turned so that signs are nearest to values."""
-    size = sample.shape[1]
+    """(mean, projection to ``bits`` signs): principal components turned so that signs are nearest to values.
+
+    Vectors shorter than the code have random directions for the rest of it, so that every
+    table tells vectors apart. With no more samples than bits the turn is a random one.
+    """
+    size, whole = sample.shape[1], bits
     bits = min(bits, size)
     mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
     if len(sample) > bits:
@@ -52,7 +56,8 @@ def rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.nd
     for _ in range(rounds if len(sample) > bits else 0):
         u, _, w = np.linalg.svd(np.where(low @ turn >= 0, 1.0, -1.0).T @ low)
         turn = w.T @ u.T
-    return mean, base @ turn
+    more = np.random.default_rng(2).standard_normal((size, whole - bits))
+    return mean, np.hstack([base @ turn, more])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -69,9 +74,7 @@ def code_rows(turns: dict[int, tuple[np.ndarray, np.ndarray]]):
                 mine = batch.filter(pa.array(lengths == size))
                 mean, turn = turns[int(size)] if int(size) in turns else rotation(np.zeros((0, int(size))), BITS)
                 signs = (unit(matrix(mine.column(3))) - mean) @ turn >= 0
-                full = np.zeros((len(signs), BITS), bool)
-                full[:, : signs.shape[1]] = signs
-                code = np.packbits(full, axis=1, bitorder="little").view(np.int64).ravel()
+                code = np.packbits(signs, axis=1, bitorder="little").view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(code)], names=["vec_id", "label", "weight", "v", "code"])
 
     return run

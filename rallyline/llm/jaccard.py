@@ -31,8 +31,9 @@ before they become rows; at full length, a fortieth of the sets, it drops most o
 before whole sets are moved. Neither drops a similar pair.
 
 Null or white text has an empty set and links with nothing; fewer words than a shingle
-count as one shingle of all words. Repeated rows form a class; a doc_id on several rows
-is one node. An empty table gives an empty result; other columns are not looked at.
+count as one shingle of all words. Repeated rows form a class. A doc_id on several rows is
+one node: where its texts differ, each row is searched with its own text, under a hash of
+doc_id and text, and the components of one doc_id's rows are joined. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import Scratch, batches, bucket_of, load, mix, planes, signed, starts, unplaned, utf8, words
+from rallyline.llm._base import Scratch, batches, bucket_of, fresh, load, mix, planes, signed, starts, unplaned, utf8, words
 from rallyline.llm._graph import components
 
 WIDTH = 5
@@ -420,6 +421,8 @@ def frequent_bits(every: DataFrame) -> bytes:
 def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
+    if distinct_texts_share(docs):
+        return scratch.finish(by_rows(docs, percent, width, scratch))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = scratch.write(texts.mapInArrow(class_rows(width), "doc_id long, n long, one long, two long, slice int, counts binary"), "every")
     rows = every.filter("slice is null").select("doc_id", "n", "one", "two")
@@ -467,6 +470,39 @@ def ngram_jaccard(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -
     return scratch.finish(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 
+def distinct_texts_share(docs: DataFrame) -> bool:
+    """Whether different texts have one doc_id."""
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    text = F.xxhash64("text")
+    return not ids.agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low < high").isEmpty()
+
+
+def by_rows(docs: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """``ngram_jaccard`` of a table in which different texts have one doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.write(rows.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("row")), "rows")
+    found = ngram_jaccard(rows.select(F.col("row").alias("doc_id"), "text"), percent, width)
+    found = scratch.write(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")).distinct(), "found")
+    named = scratch.write(rows.select("doc_id", "row").join(found.filter("row is not null"), "row", "left"), "named")
+    parts = named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("low"))
+    links = named.filter("part is not null").select("doc_id", "part").distinct().join(parts, "part").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    whole = components(links, scratch)
+    out = named.join(whole.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    unnamed = docs.filter(F.col("doc_id").isNull()).select("text").mapInArrow(size_rows(width), "n_shingles long")
+    out = out.filter("doc_id is not null").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(unnamed.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
+def size_rows(width: int):
+    """text -> size of its set."""
+
+    def run(iterator):
+        for batch in batches(iterator):
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(batch.column(0), width)], pa.int64())], names=["n_shingles"])
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, with its columns as they were: that with the smallest doc_id, null last.
 
@@ -474,17 +510,19 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     doc_id are each searched with their own text; documents without a word all stay.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    found = ngram_jaccard(rows.select(F.col("_key").alias("doc_id"), "text"), **options).filter("n_shingles > 0")
-    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    single = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    found = found.join(single, "component_id", "left_semi").join(rows.select("_key", "doc_id").distinct(), "_key")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
-    kept = found.groupBy("component_id").agg(F.min(order).alias("kept")).select(F.col("kept._key").alias("_key"))
-    gone = scratch.finish(found.select("_key").join(kept, "_key", "left_anti"))
-    rows = rows.join(gone, "_key", "left_anti")
+    row = fresh(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    texts = keyed.select(F.col(row).alias("row"), "doc_id", "text")
+    found = ngram_jaccard(texts.select(F.col("row").alias("doc_id"), "text"), **options).filter("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("row"), "component_id").distinct()
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    found = found.join(several, "component_id", "left_semi").join(texts.select("row", "doc_id").distinct(), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    kept = found.groupBy("component_id").agg(F.min(order).alias("kept")).select(F.col("kept.row").alias("row"))
+    gone = scratch.finish(found.select("row").join(kept, "row", "left_anti"))
+    rows = keyed.join(gone.withColumnRenamed("row", row), row, "left_anti")
     worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    return rows.filter(worded).dropDuplicates(["_key"]).unionByName(rows.filter(~worded)).select(*docs.columns)
+    return rows.filter(worded).dropDuplicates([row]).unionByName(rows.filter(~worded)).select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

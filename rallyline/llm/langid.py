@@ -16,7 +16,8 @@ than ENOUGH of them takes the limit of all languages' together, and one with few
 five the spread (and, with none, the mean) of the others. With no language of five nothing is rejected.
 
 Null text and text without a letter give ``und`` with score 0 and are rejected. With no
-labelled document at all every text is ``und``. Ties go to the language first in order.
+labelled document at all every text is ``und``; nothing can be told of it, so that a
+filter by language then keeps every document. Ties go to the language first in order.
 Repeated rows are scored alike; other columns are not looked at.
 """
 
@@ -89,7 +90,7 @@ def count_grams(iterator):
                 code, _, _ = symbols(mine[at : at + 64])
                 if len(code):
                     keys, n = np.unique(grams(code)[code > 0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
 
 
 class Table:
@@ -274,7 +275,7 @@ def predict_rows(trained):
                 best_entropy = [e if k else None for e, k in zip(low_entropy.tolist(), known.tolist(), strict=True)]
                 rejected = calibration.rejects(best, low_entropy, count)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(best_entropy, pa.float64()), pa.array(rejected, pa.bool_())],
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(best_entropy, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
@@ -300,21 +301,21 @@ def kept_rows(trained, text: int):
 
     def run(iterator):
         for batch in batches(iterator, BATCH):
-            if trained is not None:
-                model, calibration = trained.value
-                entropies, count = model.entropies(batch.column(text).to_pylist())
-                best = entropies.argmin(axis=1)
-                rejected = calibration.rejects(best, entropies[np.arange(len(best)), best], count)
-                yield batch.filter(pa.array(~rejected))
+            model, calibration = trained.value
+            entropies, count = model.entropies(batch.column(text).to_pylist())
+            best = entropies.argmin(axis=1)
+            rejected = calibration.rejects(best, entropies[np.arange(len(best)), best], count)
+            yield batch.filter(pa.array(~rejected))
 
     return run
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns as they were."""
+    """The documents that are not rejected, with their columns as they were; all where no document has a label."""
     trained = train(docs, ~held_out())
-    if trained is not None:
-        trained = docs.sparkSession.sparkContext.broadcast(trained)
+    if trained is None:
+        return docs
+    trained = docs.sparkSession.sparkContext.broadcast(trained)
     return docs.mapInArrow(kept_rows(trained, docs.columns.index("text")), docs.schema)
 
 

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import Scratch, load
+from rallyline.llm._base import Scratch, fresh, load
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -107,21 +107,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents in training order, cut and repeated as planned.
 
     A row per reading of a document, with all columns of ``docs``; a document cut by
-    its source's target keeps its first words. Every row is a document, whether its doc_id is
+    its source's target keeps its first words, one blank between them. Every row is a document, whether its doc_id is
     null or on other rows too: rows are told apart by doc_id, text and source, and equal ones by number.
     """
     parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("")) for c in ("doc_id", "text", "source")]
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(" ", *parts), 256))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    plan = mix_sources(keyed, **options, carried=("_key",)).select("_key", "size", nth.alias("_nth"), "passes")
-    plan = plan.select("_key", "_nth", F.col("size").alias("_size"), F.explode("passes").alias("p"))
-    reads = plan.select("_key", "_nth", "_size", F.col("p.taken").alias("_taken"), F.col("p.position").alias("_position"))
-    rows = keyed.withColumn("_nth", nth).join(reads, ["_key", "_nth"])
-    first = F.array_join(F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_taken").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text")))
+    names = {n: fresh(docs, f"_{n}") for n in ("key", "nth", "whole", "used", "place")}
+    key, nth, whole, used, place = names.values()
+    keyed = docs.withColumn(key, F.sha2(F.concat_ws(" ", *parts), 256))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    plan = mix_sources(keyed.select("doc_id", "text", "source", F.col(key).alias("_row")), **options, carried=("_row",))
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    plan = plan.select("_row", "_nth", "size", F.explode("passes").alias("p"))
+    reads = plan.select(F.col("_row").alias(key), F.col("_nth").alias(nth), F.col("size").alias(whole), F.col("p.taken").alias(used), F.col("p.position").alias(place))
+    rows = keyed.withColumn(nth, number).join(reads, [key, nth])
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    first = F.array_join(F.slice(words, F.lit(1), F.col(used).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col(used) < F.col(whole), first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    return rows.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

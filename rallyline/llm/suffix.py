@@ -27,10 +27,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm._base import BASE, CHUNK, Scratch, batches, load, mix, powers, prefix_hash, signed, starts, utf8
+from rallyline.llm._base import BASE, CHUNK, Scratch, batches, fresh, load, mix, powers, prefix_hash, signed, starts, utf8
 
 WIDTH = 200
 GRAM = 64
@@ -338,14 +338,14 @@ def string_rows(width: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with ``_key``, which rows share only if doc_id and text are equal."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def row_key() -> Column:
+    """What rows share only if doc_id and text are equal."""
+    return F.xxhash64("doc_id", "text")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """(key, spans): the byte ranges of each text covered by strings that occur elsewhere too."""
-    texts = keyed(docs).select(F.col("_key").alias("key"), "text")
+    texts = docs.select(row_key().alias("key"), "text")
     every = scratch.write(texts.mapInArrow(segment_rows(width), "key long, start long, n long, h long, seg long"), "segments")
     shared = scratch.write(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "common")  # apart, so that a common one can be split in the join
     some = scratch.write(every.join(shared, "h", "left_semi"), "shared")
@@ -420,7 +420,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, scratch, width)
-    texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_key").alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
     rows = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
     return scratch.finish(rows.mapInArrow(digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
@@ -439,8 +439,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without their repeated bytes (and without characters cut in two), other columns as they were."""
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = scratch.finish(repeated_spans(docs, scratch, width))
-    spans = spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    rows = keyed(docs).join(spans, "_key", "left").select(*docs.columns, "_spans")
+    key, covered = fresh(docs, "_key"), fresh(docs, "_spans")
+    spans = spans.select(F.col("key").alias(key), F.col("spans").alias(covered))
+    rows = docs.withColumn(key, row_key()).join(spans, key, "left").select(*docs.columns, covered)
     out = rows.mapInArrow(cut_rows(docs.columns.index("text"), len(docs.columns)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 

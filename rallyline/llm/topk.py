@@ -8,12 +8,14 @@ steps, until it falls under the k-th best score found. The pivots are rows thems
 their scores give every query a first threshold; all of it is exact.
 
 Pivots are chosen far apart from a sample of SAMPLE rows by hash (a documented bound);
-every row is indexed and searched. Queries and rows meet in blocks of bounded size, each
+every row is indexed and searched. A length that is not in the sample has the zero vector
+for its pivot, which is no row and gives no threshold. Queries and rows meet in blocks of bounded size, each
 pair of blocks gives at most k rows a query, and these are merged at the end.
 
 Vectors that are null, empty, or hold null or non-finite components take no part; only
 vectors of equal length are compared. Ties go to the smaller vec_id. A vec_id on several
-rows counts as several rows, none of which answers the queries of that vec_id. An empty
+rows counts as several rows, none of which answers the queries of that vec_id; several query
+rows of one vec_id are one query with the k best of all their pairs. An empty
 table, or one without queries, gives an empty result; other columns are not looked at.
 """
 
@@ -37,14 +39,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def far_apart(sample: np.ndarray, count: int) -> np.ndarray:
-    """Rows of the sample, each the farthest from those before."""
+def far_apart(sample: np.ndarray, count: int) -> list[int]:
+    """Places of rows of the sample, each the farthest from those before."""
     chosen = [int(np.argmax((sample * sample).sum(axis=1)))]
     near = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < min(count, len(sample)) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
-    return sample[chosen]
+    return chosen
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ def table_rows(pivots: dict[int, np.ndarray]):
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(lengths):
                 mine = batch.filter(pa.array(lengths == size))
-                d = distances(matrix(mine.column(1)), pivots[int(size)])
+                d = distances(matrix(mine.column(1)), pivots.get(int(size), np.zeros((1, int(size)))))
                 table = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
                 yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), table], names=["vec_id", "v", "d"])
 
@@ -82,7 +84,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, q_d: np.ndarray, ids: np.ndarray, x
     bound[q_ids[:, None] == ids[None, :]] = -np.inf
     out = []
     for i in range(len(q)):
-        alive = np.flatnonzero(bound[i] >= start[i])
+        alive = np.flatnonzero((bound[i] >= start[i]) & np.isfinite(bound[i]))
         alive = alive[np.argsort(-bound[i][alive], kind="stable")]
         score, who, least = np.zeros(0), np.zeros(0, np.int64), start[i]
         for at in range(0, len(alive), STEP):
@@ -98,7 +100,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, q_d: np.ndarray, ids: np.ndarray, x
     return out
 
 
-def block_rows(pivots: dict[int, np.ndarray], k: int):
+def block_rows(pivots: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     """Rows sorted by (size, row_block, query_block, role), queries first -> the best of each pair of blocks."""
 
     def run(iterator):
@@ -108,10 +110,10 @@ def block_rows(pivots: dict[int, np.ndarray], k: int):
             if not held[0] or not held[1]:
                 return []
             (q_ids, q, q_d), (ids, x, x_d) = ([np.array(c) for c in zip(*side, strict=True)] for side in held)
-            own = pivots[name[0]]
-            known = np.sort(q @ own.T, axis=1)[:, ::-1]
-            # A pivot may be the query itself: k + 1 pivots must reach the score, and each stands for a row.
-            start = known[:, k] if known.shape[1] > k else np.full(len(q), -np.inf)
+            own_ids, own = pivots.get(name[0], (np.zeros(0, np.int64), np.zeros((0, name[0]))))
+            known = np.where(own_ids[None, :] == q_ids[:, None], -np.inf, q @ own.T)
+            # Each pivot stands for a row, but those of the query's own vec_id answer nothing.
+            start = np.sort(known, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(q), -np.inf)
             return search(q_ids, q, q_d, ids, x, x_d, start, k)
 
         def batch(rows):
@@ -141,11 +143,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivot_count: int = P
     """query_id, rank, vec_id, score over ``vectors`` (vec_id, v array<double> of whole numbers)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    sample = vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    lengths = {r.n for r in vectors.select(F.size("v").alias("n")).distinct().limit(10_000).collect()}
-    pivots = {n: far_apart(np.array([r.v for r in sample if len(r.v) == n] or [[0.0] * n]), pivot_count) for n in lengths}
-    real = {n: p if any(len(r.v) == n for r in sample) else p[:0] for n, p in pivots.items()}
-    table = scratch.write(vectors.mapInArrow(table_rows(pivots), "vec_id long, v array<double>, d array<double>"), "table")
+    sample = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    pivots = {}
+    for n in {len(r.v) for r in sample}:
+        some = [r for r in sample if len(r.v) == n]
+        own = np.array([r.v for r in some])
+        chosen = far_apart(own, pivot_count)
+        pivots[n] = (np.array([some[i].vec_id for i in chosen]), own[chosen])
+    table = scratch.write(vectors.mapInArrow(table_rows({n: p for n, (_, p) in pivots.items()}), "vec_id long, v array<double>, d array<double>"), "table")
     counts = table.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     row_blocks, query_blocks = -(-max(1, counts.n) // ROWS), -(-max(1, counts.q) // QUERIES)
     sized = table.withColumn("size", F.size("v"))
@@ -156,7 +161,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivot_count: int = P
     asked = sized.filter(is_query).withColumn("query_block", query_block).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).withColumn("role", F.lit(0))
     met = rows.select(columns).unionByName(asked.select(columns))
     met = met.repartition("size", "row_block", "query_block").sortWithinPartitions("size", "row_block", "query_block", "role")
-    best = met.mapInArrow(block_rows(real, k), "query_id long, vec_id long, score long")
+    best = met.mapInArrow(block_rows(pivots, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return scratch.finish(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
