@@ -7,12 +7,10 @@ written as Parquet and read again, so that a stage that is run anew starts from
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rallyline.llm import jaccard, langid, mixing, packing, suffix
-from rallyline.llm._base import load, scratch_dir
+from rallyline.llm._base import Scratch, load
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; a stage's table is deleted once the next one's is there."""
+    scratch = Scratch(spark, "pipeline")
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # a checkpoint, which needs its input no more
+    scratch.drop(docs)
+    return out
