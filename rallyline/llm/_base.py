@@ -216,7 +216,7 @@ def bucket_of(g: np.ndarray, bits: int) -> np.ndarray:
     return (g >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def batches(iterator, limit: int = 4 << 20):
+def batches(iterator, limit: int = 2 << 20):
     """Record batches in slices of about ``limit`` bytes of text, at least a row each.
 
     Arrays made of a slice take some twenty times its bytes, which bounds a worker's memory;

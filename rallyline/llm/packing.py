@@ -37,7 +37,7 @@ END_ID = 1
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 2_000_000
 #: Bytes of text, and words, looked up at once; bounds a worker's memory.
-BATCH = 2 << 20
+BATCH = 1 << 20
 RUN = 1 << 18
 #: ASCII letters and digits, and ASCII punctuation but the bar.
 ALNUM = np.zeros(256, bool)

@@ -88,7 +88,7 @@ def segment_rows(width: int):
     """key, text -> key, start, n, h, seg."""
 
     def run(iterator):
-        for batch in batches(iterator, 4 << 20):
+        for batch in batches(iterator, 2 << 20):
             doc, start, n, h, seg = segments(*utf8(batch.column(1)), width)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(start), pa.array(n), pa.array(signed(h)), pa.array(signed(seg))], names=["key", "start", "n", "h", "seg"])
