@@ -13,8 +13,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, os.environ.get("PYT
 @pytest.fixture(scope="session")
 def spark():
     s = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
-        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rallyline-tests-")).config("spark.sql.codegen.wholeStage", "false").getOrCreate()
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rallyline-tests-")).config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
