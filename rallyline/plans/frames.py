@@ -330,10 +330,11 @@ def win39(spark, d):
     return t.select("video_id", "frame_idx", F.size("trail").cast("long").alias("n"), F.when(F.size("trail") > 0, total).alias("sx"), F.get(F.get("trail", 0), 1).alias("oldest_y"))
 
 
-@query("win23_player_tracks", f"WITH RECURSIVE {FR}, m AS (SELECT video, frame, id * 7 % 61 / 10 AS x, row_number() OVER (PARTITION BY video ORDER BY frame) AS k FROM fr WHERE up), e AS (SELECT video, frame, k, x FROM m WHERE k = 1 UNION ALL SELECT m.video, m.frame, m.k, 0.65::DOUBLE * m.x + 0.35::DOUBLE * e.x FROM e JOIN m ON m.video = e.video AND m.k = e.k + 1), l AS (SELECT f.video, f.frame, max(m.frame) AS src FROM fr f LEFT JOIN m ON m.video = f.video AND m.frame <= f.frame GROUP BY ALL) SELECT CAST(l.video AS VARCHAR) AS video_id, l.frame AS frame_idx, CASE WHEN src = l.frame THEN 'measured' WHEN l.frame - src <= 5 THEN 'predicted' ELSE 'missing' END AS state, CASE WHEN l.frame - src <= 5 THEN src END AS source_frame, CASE WHEN l.frame - src <= 5 THEN round(e.x, 5) END AS x FROM l LEFT JOIN e ON e.video = l.video AND e.frame = l.src")
+@query("win23_player_tracks", f"WITH RECURSIVE {FR}, m AS (SELECT video, frame, id * 7 % 61 / 10 AS x, row_number() OVER (PARTITION BY video ORDER BY frame) AS k FROM fr WHERE up), e AS (SELECT video, frame, k, x FROM m WHERE k = 1 UNION ALL SELECT m.video, m.frame, m.k, 0.65::DOUBLE * m.x + 0.35::DOUBLE * e.x FROM e JOIN m ON m.video = e.video AND m.k = e.k + 1), l AS (SELECT f.video, f.frame, max(m.frame) AS src FROM fr f LEFT JOIN m ON m.video = f.video AND m.frame <= f.frame GROUP BY ALL) SELECT CAST(l.video AS VARCHAR) AS video_id, l.frame AS frame_idx, CASE WHEN src = l.frame THEN 'measured' WHEN l.frame - src <= 5 THEN 'predicted' ELSE 'missing' END AS state, CASE WHEN l.frame - src <= 5 THEN src END AS source_frame, CASE WHEN l.frame - src <= 5 THEN round(e.x + 3e-8::DOUBLE, 5) END AS x FROM l LEFT JOIN e ON e.video = l.video AND e.frame = l.src")
 def win23(spark, d):
+    """Places are shifted by less than they are rounded to, for many lie on a tie."""
     t = tracking.track_players(frames(spark, d))
-    return t.select("video_id", "frame_idx", F.col("player_tracks.upper.state").alias("state"), F.col("player_tracks.upper.source_frame").alias("source_frame"), F.round(F.get("player_tracks.upper.court_xy_m", 0), 5).alias("x"))
+    return t.select("video_id", "frame_idx", F.col("player_tracks.upper.state").alias("state"), F.col("player_tracks.upper.source_frame").alias("source_frame"), F.round(F.get("player_tracks.upper.court_xy_m", 0) + 3e-8, 5).alias("x"))
 
 
 @query("win22_shuttle_filter")
