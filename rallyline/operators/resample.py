@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rallyline.operators import draws
 
 REPETITIONS = 10_000
-#: Values that are drawn from as one array; more are drawn by a join.
-HELD = 65_536
+#: Values that are drawn from as one array; more are drawn in pieces.
+HELD = 1 << 20
+#: Draws of a task, tasks of a shuffle, and bytes of counts of a piece of rows over all repetitions.
+TASK, WIDTH, PIECE = 1 << 25, 48, 1 << 24
 
 
 def draw(seed: str, rep: Column, i: Column, n: Column) -> Column:
@@ -33,16 +38,17 @@ def interval(estimates: DataFrame, key: list[str], value: str = "estimate") -> D
 def bootstrap(values: DataFrame, key: list[str], value: str, order: list[str], seed: str = "7", repetitions: int = REPETITIONS, statistic: Callable[[Column], Column] = mean) -> DataFrame:
     """Percentile interval of a statistic (of an array) by key; a single value is its own interval, none gives null.
 
-    Values are numbered by ``order``. A key with up to HELD values is drawn from as one
-    array, repetitions spread over all tasks; beyond, the mean is drawn by a join.
+    Values are numbered by ``order``. Means and tendencies are drawn by ``drawn_means``; for
+    another statistic a key with up to HELD values is drawn from as one array.
     """
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")) if key else rows.agg(F.count(F.lit(1)).alias("_n"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    if most > HELD:
-        if statistic is not mean:
-            raise ValueError(f"a statistic other than the mean takes at most {HELD} values a key")
+    if statistic is tendency:
+        rows = rows.withColumn(value, F.when(F.col(value) > 0, 100.0).when(F.col(value) == 0, 50.0).otherwise(0.0))
+    if statistic in (mean, tendency):
         return drawn_means(rows, key, value, order, seed, repetitions)
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")) if key else rows.agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > HELD:
+        raise ValueError(f"a statistic other than the mean takes at most {HELD} values a key")
     held = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_s")).select(*key, F.transform("_s", lambda r: r["_v"]).alias("_vals"))
     reps = rows.sparkSession.range(repetitions).select(F.col("id").cast("int").alias("_rep"))
     n = F.size("_vals")
@@ -52,16 +58,111 @@ def bootstrap(values: DataFrame, key: list[str], value: str, order: list[str], s
 
 
 def drawn_means(rows: DataFrame, key: list[str], value: str, order: list[str], seed: str, repetitions: int) -> DataFrame:
-    """The interval of the mean, repetitions exploded over the rows and joined to the drawn ones."""
-    w = Window.partitionBy(*key).orderBy(*order)
+    """The interval of the mean. Repetitions of a key are spread over tasks, each of which gets its values as one array up to HELD, and in pieces beyond."""
+    rows = rows.select(*key, *order, F.col(value).cast("double").alias("_v")).localCheckpoint()
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = rows.select(*key, (F.row_number().over(w) - 1).alias("_i"), F.col(value).cast("double").alias("_v"))
-    picks = (numbered.join(F.broadcast(sizes), key) if key else numbered.crossJoin(F.broadcast(sizes))).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    picks = picks.select(*key, "_rep", draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")).alias("_i"))
-    est = picks.join(numbered, [*key, "_i"]).groupBy(*key, "_rep").agg(F.avg("_v").alias("estimate"))
+    few, many = (sizes.filter(c) for c in (F.col("_n") <= HELD, F.col("_n") > HELD))
+    if many.isEmpty():
+        return interval(held_means(rows, key, order, seed, repetitions), key)
+    big = (rows.join(F.broadcast(many), key) if key else rows).drop("_n")
+    est = drawn_sums(big, key, order, [F.col("_v")], seed, repetitions).select(*key, (F.get("_sums", 0) / F.col("_n")).alias("estimate"))
+    if key:
+        est = est.unionByName(held_means(rows.join(F.broadcast(few), key).drop("_n"), key, order, seed, repetitions))
     return interval(est, key)
 
 
+def held_means(rows: DataFrame, key: list[str], order: list[str], seed: str, repetitions: int) -> DataFrame:
+    """key, estimate: means of ``_v`` drawn from one array a key."""
+    held = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "_v"))).alias("_s")).select(*key, F.transform("_s", lambda r: r["_v"]).alias("_vals")).filter(F.size("_vals") > 0)
+    parts = F.least(F.lit(repetitions), F.ceil(F.size("_vals") * F.lit(float(repetitions)) / TASK).cast("int"))
+    tasks = held.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    low, high = (F.floor((F.col("_part") + k) * F.lit(float(repetitions)) / F.col("_parts")).cast("long") for k in (0, 1))
+    tasks = tasks.select(*key, "_part", low.alias("_low"), high.alias("_high"), "_vals").repartition(WIDTH, *key, "_part")
+    names = list(key)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                vals = batch["_vals"][k].values.to_numpy(zero_copy_only=False)
+                out = draws.means(np.ascontiguousarray(vals), seed, batch["_low"][k].as_py(), batch["_high"][k].as_py())
+                same = [pa.array([batch[c][k].as_py()] * len(out), batch.schema.field(c).type) for c in names]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(out)], names=[*names, "estimate"])
+
+    fields = [*[rows.schema[c] for c in key], T.StructField("estimate", T.DoubleType())]
+    return tasks.mapInArrow(run, T.StructType(fields))
+
+
+def numbered_rows(rows: DataFrame, key: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """key, ``_i`` (place by ``order`` within the key, from 0) and ``keep``, sorted in ranges over all tasks.
+
+    The sorted rows are kept, so that their ranges are the same each time; the places
+    before a range follow from its keys' counts.
+    """
+    at = F.monotonically_increasing_id()
+    rows = rows.orderBy(*key, *order).select(*key, *keep, at.alias("_at")).withColumn("_range", F.shiftright("_at", 33)).localCheckpoint()
+    counts = rows.groupBy(*key, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*key, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_off"))
+    return rows.join(F.broadcast(counts), [*key, "_range"]).select(*key, (F.col("_at") + F.col("_off")).alias("_i"), *keep)
+
+
+def drawn_sums(rows: DataFrame, key: list[str], order: list[str], values: list[Column], seed: str, repetitions: int) -> DataFrame:
+    """key, ``_rep``, ``_n`` and ``_sums``: for each repetition the sums of ``values`` over as many drawn rows as there are.
+
+    A task counts how often each row is drawn in a repetition, four bytes a row; the counts
+    of a piece of rows, for all repetitions, are multiplied with the piece's values.
+    """
+    rows = numbered_rows(rows.select(*key, *order, F.array(*[v.cast("double") for v in values]).alias("_vs")), key, order, ["_vs"])
+    piece = max(64, PIECE // repetitions)
+    rows = rows.withColumn("_piece", F.floor(F.col("_i") / piece))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    width, names = len(values), list(key)
+    spark = rows.sparkSession
+    tasks = spark.range(0, repetitions, 1, min(repetitions, WIDTH)).select(F.col("id").cast("int").alias("_rep")).crossJoin(F.broadcast(sizes.filter("_n > 0")))
+    fields = [rows.schema[c] for c in key]
+    long, blob = T.LongType(), T.BinaryType()
+    counted = T.StructType([*fields, T.StructField("_piece", long), T.StructField("_rep", T.IntegerType()), T.StructField("_n", long), T.StructField("_times", blob)])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                times = draws.times(seed, row["_rep"], row["_n"])
+                kind = np.uint8 if times.max() < 256 else np.uint32
+                cut = [times[a:a + piece].astype(kind).tobytes() for a in range(0, len(times), piece)]
+                for a in range(0, len(cut), 64):
+                    some = cut[a:a + 64]
+                    same = [pa.array([row[c]] * len(some), batch.schema.field(c).type) for c in names]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(a, a + len(some)), pa.int64()), pa.array([row["_rep"]] * len(some), pa.int32()), pa.array([row["_n"]] * len(some), pa.int64()), pa.array(some, pa.binary())], names=counted.names)
+
+    summed = T.StructType([*fields, T.StructField("_rep", T.IntegerType()), T.StructField("_n", long), T.StructField("_s", T.ArrayType(T.DoubleType()))])
+
+    def add(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        places = left["_i"].to_numpy() % piece
+        table = np.zeros((len(places), width))
+        table[places] = left["_vs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        n = len(table)
+        sums = np.empty((right.num_rows, width))
+        for k, b in enumerate(right["_times"].to_pylist()):
+            sums[k] = np.frombuffer(b, np.uint8 if len(b) == n else np.uint32) @ table
+        each = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), width).cast(pa.list_(pa.float64()))
+        return pa.table([*[right[c] for c in names], right["_rep"], right["_n"], each], names=summed.names)
+
+    by = [*key, "_piece"]
+    times = tasks.mapInArrow(count, counted)
+    parts = rows.select(*by, "_i", "_vs").groupBy(*by).cogroup(times.groupBy(*by)).applyInArrow(add, summed)
+    sums = F.array(*[F.sum(F.get("_s", k)) for k in range(width)])
+    return parts.groupBy(*key, "_rep", "_n").agg(sums.alias("_sums"))
+
+
 def cluster_bootstrap(values: DataFrame, key: list[str], cluster: str, value: str, seed: str = "7", repetitions: int = REPETITIONS) -> DataFrame:
     """Percentile interval of the pooled mean over resampled clusters, each drawn with all its values."""
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(value))

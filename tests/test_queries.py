@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyline import functions as fn
-from rallyline.operators import evaluation, joins, resample, sequence
+from rallyline.operators import draws, evaluation, joins, resample, sequence
 from rallyline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -107,6 +107,30 @@ def test_bootstrap_repetitions(spark):
     assert tuple(resample.bootstrap(df.limit(1), [], "delta", ["i"]).first()) == (3.0, 3.0)
 
 
+def test_draws_by_blocks():
+    for seed, low, high, n in (("7", 8, 103, 97), ("block", 998, 1002, 20_011), ("s" * 60, 9, 11, 12)):
+        got = {r: [] for r in range(low, high)}
+        for first, end, at in draws.picks(seed, low, high, n):
+            for r in range(first, end):
+                got[r] += at[r - first].tolist()
+        assert got == {r: [int(hashlib.md5(f"{seed}:{r}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)] for r in range(low, high)}
+
+
+def test_bootstrap_in_pieces(spark, monkeypatch):
+    # more values than are held as one array: any key, the tendency too
+    values = {"a": [float(i * 37 % 101 - 50) for i in range(150)], "b": [1.0, 0.0, -1.0]}
+    df = spark.createDataFrame([(k, i, v) for k in values for i, v in enumerate(values[k])], "k string, i long, delta double")
+    monkeypatch.setattr(resample, "HELD", 4)
+    monkeypatch.setattr(resample, "PIECE", 1)
+    monkeypatch.setattr(resample, "TASK", 100)
+    for statistic, of in ((resample.mean, float), (resample.tendency, lambda v: 50.0 * ((v > 0) + (v >= 0)))):
+        got = {r.k: (r.ci_low, r.ci_high) for r in resample.bootstrap(df, ["k"], "delta", ["i"], "9", 60, statistic).collect()}
+        for k, v in values.items():
+            pick = lambda rep, i: int(hashlib.md5(f"9:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(v)  # noqa: E731, B023
+            means = [sum(of(v[pick(rep, i)]) for i in range(len(v))) / len(v) for rep in range(60)]
+            assert got[k] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
+
+
 def test_matched_scores(spark):
     # two golds near one found: one match, not two recalled
     c = spark.createDataFrame([("v", 3, 105), ("v", 4, 900), ("v", 5, 901)], "video string, event_id long, candidate_frame long")
