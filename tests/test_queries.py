@@ -89,6 +89,28 @@ def test_matching_is_optimal():
         assert (len(pairs), -sum(errors)) == one_to_one(found, gold, reach)
 
 
+def test_small_parts_match_as_large_ones(monkeypatch):
+    rnd = random.Random(8)
+    cases = []
+    for _ in range(200):
+        gold, found = (sorted(rnd.choices(range(30), k=rnd.randint(0, 8))) for _ in range(2))
+        cases.append((found, gold, [rnd.randint(0, 8) for _ in gold]))
+    small = [joins.solve_small(*c) for c in cases]
+    monkeypatch.setattr(joins, "SMALL", -1)
+    assert small == [joins.solve_matching(*c) for c in cases]
+
+
+def test_parts_are_solved_in_batches(spark):
+    # one call of Python for many parts, not one each
+    rows = [("v", k, 100 * k + k % 3) for k in range(50)]
+    c = spark.createDataFrame(rows, "video string, event_id long, candidate_frame long")
+    g = spark.createDataFrame([("v", 100 * k, 0) for k in range(50)], "video string, hit_frame long, uncertainty_frames long")
+    m = evaluation.match(c, g, (1, 5))
+    assert "FlatMapGroups" not in m._jdf.queryExecution().executedPlan().toString()
+    want = {(t, "v", k, 100 * k, at) for t in (1, 5) for _, k, at in rows if k % 3 <= t}
+    assert {(r.tolerance, r.video, r.event_id, r.hit_frame, r.candidate_frame) for r in m.collect()} == want
+
+
 def test_matching_ties_from_the_end():
     # equal errors either way: the last candidate is left out before the last gold is
     assert joins.solve_matching([10, 12], [11], [5]) == [(1, 0)]
