@@ -36,8 +36,8 @@ AXES = {"own_x": ("player_location_x", COURT_W), "own_y": ("player_location_y",
 
 
 def distinct_events(raw: DataFrame, key: list[str]) -> DataFrame:
-    """Identical repeats of a key go; rows that share a key and differ raise an error."""
-    rows = raw.dropDuplicates()
+    """Identical repeats of a key go; rows that share a key and differ raise an error. Rows are dealt out once, by key."""
+    rows = raw.repartition(*key).dropDuplicates()
     n = F.count(F.lit(1)).over(Window.partitionBy(*key))
     clash = F.when(n > 1, F.raise_error(F.concat(F.lit("inconsistent duplicate event: "), F.concat_ws(":", *key))).cast("int")).otherwise(F.lit(1))
     return rows.withColumn("_ok", clash).filter("_ok = 1").drop("_ok")
@@ -59,7 +59,8 @@ def normalise(raw: DataFrame, matches: DataFrame, nulling: bool = True, focal_on
     rows = rows.join(F.broadcast(matches.select("video_id", F.lower(F.trim("focal_side")).alias("focal_side"), "opponent", "competition")), "video_id")
     if focal_only:
         rows = rows.filter(F.col("player_side") == F.col("focal_side"))
-    values = {n: (inside(number(F.col(c)), limit) if nulling else number(F.col(c))) for n, (c, limit) in AXES.items()}
+    rows = rows.withColumns({f"_{n}": number(F.col(c)) for n, (c, _) in AXES.items()})
+    values = {n: (inside(F.col(f"_{n}"), limit) if nulling else F.col(f"_{n}")) for n, (_, limit) in AXES.items()}
     stroke = F.lower(F.trim(F.coalesce(F.nullif("stroke_type", F.lit("")), F.lit(UNKNOWN))))
     rally = F.nullif(F.trim(F.coalesce("rally_id", F.lit(""))), F.lit(""))
     rally = rally if nulling else F.coalesce(rally, F.concat(F.lit("event-"), F.col("event_id")))

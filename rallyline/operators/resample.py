@@ -180,25 +180,21 @@ def block_bootstrap(blocks: DataFrame, block: list[str], row: str, column: str,
     """Resampled blocks of a contingency table: (proportions, association, draws).
 
     ``blocks`` holds a row per observation. Each block's table is one array of counts; a
-    repetition adds up as many drawn blocks as there are. Draws give the row proportions
-    of each repetition, for contrasts.
+    repetition adds up as many drawn blocks as there are. Tables and draws are made once
+    and kept. Draws give the row proportions of each repetition, for contrasts.
     """
     from rallyline.operators import profile
 
     cells = [(r, c) for r in rows for c in columns]
-    obs = blocks.filter(F.col(row).isin(rows) & F.col(column).isin(columns))
     counts = F.array(*[F.count_if((F.col(row) == r) & (F.col(column) == c)).cast("double") for r, c in cells])
-    tables = obs.groupBy(*block).agg(counts.alias("_t"))
-    w = Window.orderBy(*block)
-    numbered = tables.select((F.row_number().over(w) - 1).alias("_i"), "_t")
-    n = numbered.count()
-    reps = blocks.sparkSession.range(repetitions).select(F.col("id").cast("int").alias("_rep"))
-    picks = reps.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).select("_rep", draw(seed, F.col("_rep"), F.col("_j"), F.lit(max(n, 1))).alias("_i"))
-    times = picks.groupBy("_rep", "_i").agg(F.count(F.lit(1)).alias("_m"))
-    drawn = times.join(numbered, "_i").groupBy("_rep").agg(*[F.sum(F.get("_t", k) * F.col("_m")).alias(f"c{k}") for k in range(len(cells))])
-    whole = numbered.agg(*[F.coalesce(F.sum(F.get("_t", k)), F.lit(0.0)).alias(f"c{k}") for k in range(len(cells))]).withColumn("_rep", F.lit(-1))
+    some = F.exists("_t", lambda c: c > 0)  # a filter of the observations would be pushed down and work their zones out again
+    tables = blocks.groupBy(*block).agg(counts.alias("_t")).filter(some).localCheckpoint()
+    n = tables.count()
+    sums = drawn_sums(tables, [], block, [F.get("_t", k) for k in range(len(cells))], seed, repetitions)
+    drawn = sums.select("_rep", *[F.get("_sums", k).alias(f"c{k}") for k in range(len(cells))])
+    whole = tables.agg(*[F.coalesce(F.sum(F.get("_t", k)), F.lit(0.0)).alias(f"c{k}") for k in range(len(cells))]).withColumn("_rep", F.lit(-1))
     table = F.array(*[F.array(*[F.col(f"c{i * len(columns) + j}") for j in range(len(columns))]) for i in range(len(rows))])
-    every = drawn.unionByName(whole.select("_rep", *[f"c{k}" for k in range(len(cells))])).select("_rep", table.alias("_table")).withColumn("v", profile.cramers_v(F.col("_table"), len(rows), len(columns)))
+    every = drawn.unionByName(whole.select("_rep", *[f"c{k}" for k in range(len(cells))])).select("_rep", table.alias("_table")).withColumn("v", profile.cramers_v(F.col("_table"), len(rows), len(columns))).localCheckpoint()
     grid = F.array(*[F.struct(F.lit(r).alias(row), F.lit(c).alias(column), F.lit(i).alias("_r"), F.lit(j).alias("_c")) for i, r in enumerate(rows) for j, c in enumerate(columns)])
     long = every.withColumn("_g", F.explode(grid)).select("_rep", "_g.*", "_table")
     line = F.get("_table", F.col("_r"))

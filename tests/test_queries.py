@@ -153,6 +153,25 @@ def test_bootstrap_in_pieces(spark, monkeypatch):
             assert got[k] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
 
 
+def test_block_bootstrap_in_pieces(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(b, rnd.choice("xyz"), rnd.choice("pq?")) for b in range(150) for _ in range(rnd.randint(0, 4))]
+    monkeypatch.setattr(resample, "PIECE", 1)
+    shares, _, _ = resample.block_bootstrap(spark.createDataFrame(rows, "b long, r string, c string"), ["b"], "r", "c", ["x", "y"], ["p", "q"], "s", 40)
+    assert "Window" not in shares._jdf.queryExecution().optimizedPlan().toString()
+    seen = [t for t in rows if t[1] in "xy" and t[2] in "pq"]
+    blocks = sorted({t[0] for t in seen})
+    of = [[t for t in seen if t[0] == b] for b in blocks]
+    pick = lambda rep, i: int(hashlib.md5(f"s:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(of)
+    draws_ = [[t for i in range(len(of)) for t in of[pick(rep, i)]] for rep in range(40)]
+    got = {(t.r, t.c): t for t in shares.collect()}
+    assert len(got) == 4
+    for (r, c), t in got.items():
+        share = [sum(x[1:] == (r, c) for x in d) / sum(x[1] == r for x in d) for d in draws_]
+        assert (t.ci_low, t.ci_high) == pytest.approx(tuple(np.quantile(share, [0.025, 0.975])))
+        assert (t.block_count, t.stroke_count) == (len(blocks), sum(x[1:] == (r, c) for x in seen))
+
+
 def test_matched_scores(spark):
     # two golds near one found: one match, not two recalled
     c = spark.createDataFrame([("v", 3, 105), ("v", 4, 900), ("v", 5, 901)], "video string, event_id long, candidate_frame long")
