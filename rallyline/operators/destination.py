@@ -9,6 +9,9 @@ from rallyline.functions import filled, geometry, pose
 
 #: Frames around a contact, frames after a last hit that are searched, metres at which ball and receiver are fused.
 RADIUS, TERMINAL, NEAR = 3, 75, 1.8
+#: Joins of frames and of rows by frame are merges: these repeat an event up to TERMINAL times, take little room when
+#: shuffled, and would overflow the driver if they were broadcast by that size.
+MERGE = "merge"
 
 
 def shuttle_evidence(shuttle: Column) -> tuple[Column, Column]:
@@ -46,7 +49,7 @@ def nearest_evidence(events: DataFrame, frames: DataFrame, target: str, radius:
     f = frames.select("video_id", "frame_idx", point.alias("_point"), sure.alias("_sure")).filter(F.col("_point").isNotNull())
     e = events.filter(F.col(target).isNotNull()).select("video_id", "event_id", F.col(target).alias("_t"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_o"))
     e = e.withColumn("frame_idx", F.col("_t") + F.col("_o"))
-    got = e.join(f, ["video_id", "frame_idx"]).withColumn("_score", F.col("_sure") - 0.02 * F.abs("_o"))
+    got = e.join(f.hint(MERGE), ["video_id", "frame_idx"]).withColumn("_score", F.col("_sure") - 0.02 * F.abs("_o"))
     best = F.max(F.struct(F.col("_score"), (-F.col("_o")).alias("_n"), F.col("frame_idx"), F.col("_point")))
     got = got.groupBy("video_id", "event_id").agg(best.alias("_b"))
     return got.select("video_id", "event_id", F.col("_b._score").alias("ball_score"), F.col("_b.frame_idx").alias("ball_frame"), F.col("_b._point").alias("ball_point"))
@@ -65,7 +68,7 @@ def terminal(events: DataFrame, frames: DataFrame, h: Column, search: int = TERM
     f = frames.select("video_id", "frame_idx", F.col("play_state_segment_id").alias("_fs"), F.get(point, 1).alias("_iy"), point.isNotNull().alias("_has"), sure.alias("_sure"), x.alias("_x"), y.alias("_y"))
     e = events.select("video_id", "event_id", F.col("candidate_frame").alias("_hit"), F.col("play_state_segment_id").alias("_es"))
     e = e.withColumn("frame_idx", F.explode(F.sequence(F.col("_hit") + 1, F.col("_hit") + search)))
-    rows = e.join(f, ["video_id", "frame_idx"])
+    rows = e.join(f.hint(MERGE), ["video_id", "frame_idx"])
     w = Window.partitionBy("video_id", "event_id").orderBy("frame_idx")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     same = F.coalesce(F.col("_fs") == F.col("_es"), F.lit(False))
@@ -113,9 +116,11 @@ def destinations(frames: DataFrame, events: DataFrame, h: Column, radius: int =
     ball = nearest_evidence(more, frames, "_target", radius)
     at = more.select("video_id", "event_id", F.col("_target").alias("frame_idx"), "_receiver")
     spot, sure = receiver(F.col("_receiver"))
-    who = at.join(frames.select("video_id", "frame_idx", "player_tracks", "players"), ["video_id", "frame_idx"]).select("video_id", "event_id", spot.alias("receiver_point"), sure.alias("receiver_confidence"))
+    who = at.join(frames.select("video_id", "frame_idx", "player_tracks", "players").hint(MERGE), ["video_id", "frame_idx"]).select("video_id", "event_id", spot.alias("receiver_point"), sure.alias("receiver_confidence"))
     end = terminal(e.filter(F.col("_target").isNull()), frames, h, search)
-    rows = e.join(ball, ["video_id", "event_id"], "left").join(who, ["video_id", "event_id"], "left").join(end, ["video_id", "event_id"], "left")
+    rows = e
+    for found in (ball, who, end):
+        rows = rows.join(found.hint(MERGE), ["video_id", "event_id"], "left")
     f = fuse(h)
     next_, ended = F.col("_target").isNotNull(), F.col("end_frame").isNotNull()
     nothing = F.col("ball_point").isNull() & F.col("receiver_point").isNull()

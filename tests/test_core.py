@@ -297,6 +297,14 @@ def test_terminal_contact(spark):
     assert (r.predicted_landing_x, r.predicted_landing_y, r.landing_frame, r.landing_kind) == (2.0, 10.0, 27, "ground_contact") and r.landing_confidence == pytest.approx(0.5)
 
 
+def test_destinations_send_no_frames_through_the_driver(spark, tmp_path):
+    destination_frames(spark, f20=[2.0, 9.0]).write.parquet(f"{tmp_path}/frames")
+    f = spark.read.parquet(f"{tmp_path}/frames")  # a table whose size is known, and small
+    e = marks(spark, [(0, "upper"), (20, "lower")]).withColumn("rally_id", F.lit("r")).withColumn("play_state_segment_id", F.lit("Active 01"))
+    plan = destination.destinations(f, e, identity())._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 6
+
+
 def candidate_rows(spark, rows):
     return spark.createDataFrame([("v", f"e{i}", f, h, "r1") for i, (f, h) in enumerate(rows)], "video string, event_id string, candidate_frame long, predicted_hitter string, rally_id string")
 
