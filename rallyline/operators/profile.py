@@ -32,6 +32,8 @@ LOW_N = {
     "sequence_predictability": 50, "early_active_share": 50, "attack_entry_proxy": 20, "terminal_attack_event_share": 20, "net_continuation_proxy": 20, "defense_to_attack_proxy": 20,
 }
 LEAST_MATCHES = 18
+#: Columns of strokes that the metrics look at.
+STROKE = ("video_id", "opponent", "athlete", "rally_key", "event_id", "stroke_index", "hit_time", "stroke_type", "macro_type", "own_depth", "own_x", "landing_x", "landing_zone9", "line_class")
 AXES = {"own_x": ("player_location_x", COURT_W), "own_y": ("player_location_y", COURT_L), "opponent_x": ("opponent_location_x", COURT_W), "opponent_y": ("opponent_location_y", COURT_L), "landing_x": ("landing_x", COURT_W), "landing_y": ("landing_y", COURT_L)}
 
 
@@ -112,8 +114,11 @@ def entropy_of(counts: list[Column], categories: int) -> Column:
 def transitions(ordered: DataFrame, keys: list[str], order: list[Column], value: str, categories: tuple[str, ...]) -> DataFrame:
     """Counts (source, target) of neighbouring strokes of an athlete's rally, both among the categories."""
     w = Window.partitionBy("rally_key", "athlete").orderBy(*order)
-    p = ordered.select(*keys, "athlete", F.lag(value).over(w).alias("source"), F.col(value).alias("target"))
-    return p.filter(F.col("source").isin(*categories) & F.col("target").isin(*categories)).groupBy(*keys, "athlete", "source", "target").agg(F.count(F.lit(1)).alias("n"))
+    return pair_counts(ordered.select(*keys, "athlete", F.lag(value).over(w).alias("source"), F.col(value).alias("target")), keys, categories)
+
+
+def pair_counts(pairs: DataFrame, keys: list[str], categories: tuple[str, ...]) -> DataFrame:
+    return pairs.filter(F.col("source").isin(*categories) & F.col("target").isin(*categories)).groupBy(*keys, "athlete", "source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def predictability(pairs: DataFrame, keys: list[str], categories: int) -> DataFrame:
@@ -124,18 +129,26 @@ def predictability(pairs: DataFrame, keys: list[str], categories: int) -> DataFr
     return t.groupBy(*keys, "athlete").agg((1 - h / math.log(categories)).alias("sequence_predictability"), F.sum("n").alias("sequence_predictability_n"))
 
 
-def player_metrics(events: DataFrame, keys: list[str] | None = None, wide_attack: bool = False, divisor: int = 6, with_unknown: bool = False, raw_sequence: bool = False) -> DataFrame:
-    """A wide row per match and athlete: 20 metrics, the number behind each (``_n``) and whether it is low (``_low_n``).
+def neighbours(events: DataFrame) -> DataFrame:
+    """Strokes of rallies with the classes before and after them of the same athlete, the rally's size, times and last stroke, and whether rally and athlete can be ordered."""
+    r, all_order = rally_order(events.filter(F.col("rally_key").isNotNull()), ["rally_key"], "all")
+    r, own_order = rally_order(r, ["rally_key", "athlete"], "own")
+    w_all = Window.partitionBy("rally_key")
+    last = F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(all_order)], F.col("macro_type"), F.col("stroke_type"), F.col("athlete").alias("who"))).over(w_all)
+    r = r.withColumn("_n", F.count(F.lit(1)).over(w_all)).withColumn("_times", F.count("hit_time").over(w_all)).withColumn("_span", F.max("hit_time").over(w_all) - F.min("hit_time").over(w_all)).withColumn("_last", last)
+    w = Window.partitionBy("rally_key", "athlete").orderBy(*own_order)
+    beside = {f"_{tag}{k}": F.lead(c, k).over(w) for tag, c in (("m", "macro_type"), ("s", "stroke_type")) for k in (1, 2)}
+    r = r.withColumns(beside | {"_m0": F.lag("macro_type").over(w), "_s0": F.lag("stroke_type").over(w)})
+    return r.select("video_id", "athlete", "rally_key", "macro_type", "stroke_type", "_n", "_times", "_span", "_last.macro_type", "_last.stroke_type", "_last.who", *beside, "_m0", "_s0", "_ok_all", "_ok_own").toDF(
+        "video_id", "athlete", "rally_key", "macro_type", "stroke_type", "_n", "_times", "_span", "_last_macro", "_last_stroke", "_last_who", *beside, "_m0", "_s0", "_ok_all", "_ok_own"
+    )
 
-    ``keys`` are the match's columns; none pools all matches. Variants change one rule: an
-    attack may be a rush too, lines have another divisor, unknown strokes are a seventh
-    class, sequences are of raw strokes.
-    """
-    keys = ["video_id"] if keys is None else keys
+
+def stroke_shares(events: DataFrame, keys: list[str], divisor: int = 6, with_unknown: bool = False) -> DataFrame:
+    """Counts and shares of strokes per match and athlete that need no order."""
     e = events
     if divisor != 6:
         e = e.withColumn("line_class", line_class(F.col("own_x"), F.col("landing_x"), divisor))
-    own = [*keys, "athlete"]
     known = F.col("macro_type").isin(*MACROS)
     early = known & (F.col("stroke_index") <= 3)
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
@@ -144,51 +157,71 @@ def player_metrics(events: DataFrame, keys: list[str] | None = None, wide_attack
     base = total if with_unknown else classified
     smash, drop = (n(F.col("stroke_type").isin(*names) & (F.lit(with_unknown) | known)) for names in (SMASHES, DROPS))
     position, landing, lines = (n(F.col(c).isNotNull()) for c in ("own_depth", "landing_zone9", "line_class"))
-    flat = e.groupBy(*own).agg(
+    covered = sum((F.when(c > 0, 1).otherwise(0) for c in zone[1:]), F.when(zone[0] > 0, 1).otherwise(0))
+    return e.groupBy(*keys, "athlete").agg(
         total.alias("stroke_events"), classified.alias("classified_strokes"), (total - classified).alias("unknown_strokes"), position.alias("valid_own_position"), landing.alias("valid_landing"),
-        lines.alias("valid_line"), F.count_distinct("rally_key").alias("rally_count"), ratio(smash, base).alias("smash_share"), ratio(drop, base).alias("drop_share"),
+        lines.alias("valid_line"), ratio(smash, base).alias("smash_share"), ratio(drop, base).alias("drop_share"),
         ratio(n(F.col("macro_type") == NET), base).alias("net_share"), ratio(n(F.col("macro_type") == DRIVE), base).alias("drive_share"),
         ratio(n(F.col("own_depth") == DEPTHS[0]), position).alias("backcourt_tendency"), entropy_of(zone, 9).alias("landing_entropy"), entropy_of(line, 3).alias("line_entropy"),
-        ratio(F.count_distinct("landing_zone9"), F.lit(9)).alias("landing_coverage"), ratio(n(early & F.col("macro_type").isin(*ACTIVE)), n(early)).alias("early_active_share"),
+        ratio(covered, F.lit(9)).alias("landing_coverage"), ratio(n(early & F.col("macro_type").isin(*ACTIVE)), n(early)).alias("early_active_share"),
         n(early).alias("early_active_share_n"), ratio(classified, total).alias("classified_rate"), *[n(F.col("macro_type") == m).alias(f"macro_{i + 1}_{m}") for i, m in enumerate(MACROS)],
-    )
-    r, all_order = rally_order(e.filter(F.col("rally_key").isNotNull()), ["rally_key"], "all")
-    r, own_order = rally_order(r, ["rally_key", "athlete"], "own")
-    w_all = Window.partitionBy("rally_key")
-    last = F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(all_order)], F.col("macro_type"), F.col("stroke_type"), F.col("athlete").alias("who"))).over(w_all)
-    r = r.withColumn("_n", F.count(F.lit(1)).over(w_all)).withColumn("_times", F.count("hit_time").over(w_all)).withColumn("_span", F.max("hit_time").over(w_all) - F.min("hit_time").over(w_all)).withColumn("_last", last)
-    good = r.filter("_ok_all and _ok_own")
-    w = Window.partitionBy("rally_key", "athlete").orderBy(*own_order)
+    ).withColumn("spatial_diversity", (F.col("landing_entropy") + F.col("line_entropy")) / 2)
+
+
+def rally_metrics(ahead: DataFrame, keys: list[str], wide_attack: bool = False) -> DataFrame:
+    """Rates, successes and ends of rallies per match and athlete, out of ``neighbours``."""
+    own = [*keys, "athlete"]
     hits = lambda m, s: F.coalesce((m == ATTACK) | (F.lit(wide_attack) & (s == "rush")), F.lit(False))
-    ahead = good.withColumns({f"_m{k}": F.lead("macro_type", k).over(w) for k in (1, 2)} | {f"_s{k}": F.lead("stroke_type", k).over(w) for k in (1, 2)})
     follows = F.coalesce(F.col("_m1") != UNKNOWN, F.lit(False)) | F.coalesce(F.col("_m2") != UNKNOWN, F.lit(False))
     attacks = hits(F.col("_m1"), F.col("_s1")) | hits(F.col("_m2"), F.col("_s2"))
     nets = F.coalesce(F.col("_m1") == NET, F.lit(False)) | F.coalesce(F.col("_m2") == NET, F.lit(False))
     entry = follows & F.col("macro_type").isin(*NEUTRAL) & ~hits(F.col("macro_type"), F.col("stroke_type"))
     defence, net = follows & F.col("macro_type").isin(*DEFENCE), follows & (F.col("macro_type") == NET)
-    rally = ahead.groupBy(*own, "rally_key").agg(
-        F.count(F.lit(1)).alias("own"), F.max("_n").alias("n"), F.max("_times").alias("times"), F.max("_span").alias("span"), F.max("_last").alias("last"), F.bool_or(entry).alias("entry"),
+    ended = F.col("_last_macro") != UNKNOWN
+    finished = ended & (F.col("_last_who") == F.col("athlete")) & hits(F.col("_last_macro"), F.col("_last_stroke"))
+    rally = ahead.filter("_ok_all and _ok_own").groupBy(*own, "rally_key").agg(
+        F.count(F.lit(1)).alias("own"), F.max("_n").alias("n"), F.max("_times").alias("times"), F.max("_span").alias("span"), F.bool_or(ended).alias("ended"), F.bool_or(finished).alias("finished"), F.bool_or(entry).alias("entry"),
         F.bool_or(entry & attacks).alias("entered"), F.bool_or(defence).alias("defence"), F.bool_or(defence & attacks).alias("turned"), F.count_if(net).alias("net"), F.count_if(net & nets).alias("netted"),
     )
     timed = (F.col("times") >= 2) & (F.col("span") > 0)
-    ended = F.col("last.macro_type") != UNKNOWN
-    finished = ended & (F.col("last.who") == F.col("athlete")) & hits(F.col("last.macro_type"), F.col("last.stroke_type"))
-    per = rally.groupBy(*own).agg(
+    return rally.groupBy(*own).agg(
         F.median(F.when(timed, F.col("own") / F.col("span"))).alias("event_rate_proxy"), F.count_if(timed).alias("event_rate_proxy_n"), F.count_if((F.col("times") >= 2) & (F.col("span") <= 0)).alias("nonpositive_duration_rallies"),
-        *[F.count_if(F.col("n") >= k).alias(f"_long{k}") for k in (8, 10, 12)], F.count_if(ended).alias("terminal_attack_event_share_n"), F.count_if(finished).alias("terminal_attack_events"),
+        *[F.count_if(F.col("n") >= k).alias(f"_long{k}") for k in (8, 10, 12)], F.count_if("ended").alias("terminal_attack_event_share_n"), F.count_if("finished").alias("terminal_attack_events"),
         F.count_if("entry").alias("attack_entry_proxy_n"), F.count_if("entered").alias("attack_entry_successes"), F.count_if("defence").alias("defense_to_attack_proxy_n"),
         F.count_if("turned").alias("defense_to_attack_successes"), F.sum("net").alias("net_continuation_proxy_n"), F.sum("netted").alias("net_continuation_successes"), F.count(F.lit(1)).alias("_ordered"),
-    )
-    value, classes = ("stroke_type", tuple(sorted(MACRO_OF))) if raw_sequence else ("macro_type", MACROS + ((UNKNOWN,) if with_unknown else ()))
-    chain = predictability(transitions(good, keys, own_order, value, classes), keys, len(classes))
-    out = flat.join(per, own, "left").join(chain, own, "left")
-    counts = [c for c in per.columns if c not in (*own, "event_rate_proxy")] + ["sequence_predictability_n"]
+    ).withColumns({m: ratio(F.col(a), F.col(f"{m}_n")) for m, a in (
+        ("attack_entry_proxy", "attack_entry_successes"), ("terminal_attack_event_share", "terminal_attack_events"), ("net_continuation_proxy", "net_continuation_successes"), ("defense_to_attack_proxy", "defense_to_attack_successes"),
+    )})
+
+
+def sequence_metrics(ahead: DataFrame, keys: list[str], with_unknown: bool = False, raw_sequence: bool = False) -> DataFrame:
+    """Predictability of the next class per match and athlete, out of ``neighbours``."""
+    before, value, classes = ("_s0", "stroke_type", tuple(sorted(MACRO_OF))) if raw_sequence else ("_m0", "macro_type", MACROS + ((UNKNOWN,) if with_unknown else ()))
+    pairs = ahead.filter("_ok_all and _ok_own").select(*keys, "athlete", F.col(before).alias("source"), F.col(value).alias("target"))
+    return predictability(pair_counts(pairs, keys, classes), keys, len(classes))
+
+
+def player_metrics(events: DataFrame, keys: list[str] | None = None, wide_attack: bool = False, divisor: int = 6, with_unknown: bool = False, raw_sequence: bool = False, ahead: DataFrame | None = None) -> DataFrame:
+    """A wide row per match and athlete: 20 metrics, the number behind each (``_n``) and whether it is low (``_low_n``).
+
+    ``keys`` are the match's columns; none pools all matches. Variants change one rule: an
+    attack may be a rush too, lines have another divisor, unknown strokes are a seventh
+    class, sequences are of raw strokes. ``ahead`` are the events' ``neighbours``, if they are there.
+    """
+    keys = ["video_id"] if keys is None else keys
+    own = [*keys, "athlete"]
+    ahead = neighbours(events) if ahead is None else ahead
+    flat = stroke_shares(events, keys, divisor, with_unknown)
+    rallies = events.select(*own, "rally_key").distinct().groupBy(*own).agg(F.count("rally_key").alias("rally_count"))
+    out = flat.join(rallies, own).join(rally_metrics(ahead, keys, wide_attack), own, "left").join(sequence_metrics(ahead, keys, with_unknown, raw_sequence), own, "left")
+    counts = [
+        "event_rate_proxy_n", "nonpositive_duration_rallies", "_long8", "_long10", "_long12", "terminal_attack_event_share_n", "terminal_attack_events", "attack_entry_proxy_n", "attack_entry_successes",
+        "defense_to_attack_proxy_n", "defense_to_attack_successes", "net_continuation_proxy_n", "net_continuation_successes", "_ordered", "sequence_predictability_n",
+    ]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     c = F.col
     out = out.withColumns({
-        "spatial_diversity": (c("landing_entropy") + c("line_entropy")) / 2, "attack_entry_proxy": ratio(c("attack_entry_successes"), c("attack_entry_proxy_n")),
-        "terminal_attack_event_share": ratio(c("terminal_attack_events"), c("terminal_attack_event_share_n")), "net_continuation_proxy": ratio(c("net_continuation_successes"), c("net_continuation_proxy_n")),
-        "defense_to_attack_proxy": ratio(c("defense_to_attack_successes"), c("defense_to_attack_proxy_n")), "invalid_order_rallies": c("rally_count") - c("_ordered"),
+        "invalid_order_rallies": c("rally_count") - c("_ordered"),
         **{f"long_rally_share_{k}": ratio(c(f"_long{k}"), c("rally_count")) for k in (8, 10, 12)}, **{f"long_rally_share_{k}_n": c("rally_count") for k in (8, 10, 12)},
         **{f"{m}_n": c("classified_strokes") for m in ("smash_share", "drop_share", "net_share", "drive_share")}, "backcourt_tendency_n": c("valid_own_position"),
         "spatial_diversity_n": F.least("valid_landing", "valid_line"), "landing_entropy_n": c("valid_landing"), "line_entropy_n": c("valid_line"), "landing_coverage_n": c("valid_landing"), "classified_rate_n": c("stroke_events"),
@@ -270,14 +303,18 @@ def next_class_accuracy(events: DataFrame) -> DataFrame:
     Counts without a match are the total less its own; ties go to the first name.
     """
     r, order = rally_order(events.filter(F.col("rally_key").isNotNull()), ["rally_key", "athlete"], "own")
-    own = transitions(r.filter("_ok_own"), ["video_id"], order, "macro_type", MACROS)
+    return guessed_classes(transitions(r.filter("_ok_own"), ["video_id"], order, "macro_type", MACROS), events.select("video_id", "opponent").distinct())
+
+
+def guessed_classes(own: DataFrame, opponents: DataFrame) -> DataFrame:
+    """``next_class_accuracy`` of the matches' counted pairs; ``opponents`` has the matches, each with its opponents."""
     every = own.groupBy("athlete", "source", "target").agg(F.sum("n").alias("_all"))
-    grid = events.select("video_id").distinct().join(every)
+    grid = opponents.select("video_id").distinct().join(every)
     rest = grid.join(own, ["video_id", "athlete", "source", "target"], "left").withColumn("_rest", F.col("_all") - F.coalesce("n", F.lit(0))).filter("_rest > 0")
     pick = rest.groupBy("video_id", "athlete", "source").agg(F.min(F.struct((-F.col("_rest")).alias("o"), F.col("target"))).alias("p")).select("video_id", "athlete", "source", F.col("p.target").alias("guess"))
     test = own.join(pick, ["video_id", "athlete", "source"])
     got = test.groupBy("video_id", "athlete").agg(F.sum("n").alias("sequence_predictability_n"), F.sum(F.when(F.col("guess") == F.col("target"), F.col("n")).otherwise(0)).alias("_right"))
-    every_one = events.select("video_id", "opponent").distinct().crossJoin(events.sparkSession.createDataFrame([(FOCAL,), (OTHER,)], "athlete string"))
+    every_one = opponents.crossJoin(own.sparkSession.createDataFrame([(FOCAL,), (OTHER,)], "athlete string"))
     out = every_one.join(got, ["video_id", "athlete"], "left").na.fill(0, ["sequence_predictability_n", "_right"])
     return out.select("video_id", "opponent", "athlete", ratio(F.col("_right"), F.col("sequence_predictability_n")).alias("sequence_predictability"), "sequence_predictability_n")
 
@@ -475,12 +512,19 @@ def assert_locked(counts: DataFrame, expected: dict[str, int]) -> None:
 
 
 def sensitivity(events: DataFrame, repetitions: int = resample.REPETITIONS) -> DataFrame:
-    """The checks S1 to S9 as one long table: metric, variant, both differences, sign, threshold, status."""
-    events = events.cache()
-    base_wide = player_metrics(events)
+    """The checks S1 to S9 as one long table: metric, variant, both differences, sign, threshold, status.
+
+    Strokes and their neighbours are worked out once and kept while the variants are counted,
+    each in what its rule changes. What is left has a row per match, athlete and metric at most
+    and is kept too, so that the checks join nothing else.
+    """
+    events = events.select(*STROKE).cache()
+    ahead = neighbours(events).cache()
+    base_wide = player_metrics(events, ahead=ahead).localCheckpoint()
+    opponents = events.select("video_id", "opponent").distinct().localCheckpoint()
     base_long = long_form(base_wide, ["video_id"])
-    d = deltas(base_long)
-    base = paired_mean(d).withColumnRenamed("value", "base")
+    d = deltas(base_long).localCheckpoint()
+    base = paired_mean(d).withColumnRenamed("value", "base").localCheckpoint()
     main = STYLE + PROCESS
 
     def check(test: str, variant: str, values: DataFrame, metrics, ok: Column | None = None) -> DataFrame:
@@ -491,16 +535,22 @@ def sensitivity(events: DataFrame, repetitions: int = resample.REPETITIONS) -> D
         status = F.when(F.col("direction_consistent") & F.col("threshold_ok"), "PASS").otherwise("FAIL")
         return rows.select(F.lit(test).alias("test"), "metric", F.lit(variant).alias("variant"), F.col("base").alias("base_paired_delta"), F.col("value").alias("variant_paired_delta"), "direction_consistent", "threshold_ok", status.alias("status"))
 
-    def variant(**rule) -> DataFrame:
-        return paired_mean(deltas(long_form(player_metrics(events, **rule), ["video_id"])))
+    def values(wide: DataFrame, *metrics: str, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return wide.select(*keys, "athlete", F.explode(rows).alias("r")).select(*keys, "athlete", "r.*")
+
+    def variant(wide: DataFrame, *metrics: str) -> DataFrame:
+        return paired_mean(deltas(values(wide, *metrics))).localCheckpoint()
 
-    pooled = long_form(player_metrics(events, []), [])
-    p = pooled.groupBy("metric").agg((F.max(F.when(F.col("athlete") == FOCAL, F.col("value"))) - F.max(F.when(F.col("athlete") == OTHER, F.col("value")))).alias("value"))
+    names = {"shares": ("smash_share", "drop_share", "net_share", "drive_share"), "chain": ("sequence_predictability",), "space": ("spatial_diversity",), "attack": ("attack_entry_proxy", "terminal_attack_event_share", "defense_to_attack_proxy")}
+    pooled = stroke_shares(events, []).join(rally_metrics(ahead, []), "athlete", "left").join(sequence_metrics(ahead, []), "athlete", "left")
+    p = values(pooled, *main, keys=()).localCheckpoint().groupBy("metric").agg((F.max(F.when(F.col("athlete") == FOCAL, F.col("value"))) - F.max(F.when(F.col("athlete") == OTHER, F.col("value")))).alias("value"))
     scale = F.greatest(F.abs(F.coalesce("base", F.lit(0.0))), F.abs(F.coalesce("value", F.lit(0.0))), F.lit(1e-12))
     off = F.abs(F.col("value") - F.col("base"))
     s1 = F.when(F.col("metric") == "event_rate_proxy", off / scale <= 0.20).otherwise(off <= 0.10)
     out = check("S1", "pooled_events", p, main, s1)
-    out = out.unionByName(check("S2", "unknown_as_seventh", variant(with_unknown=True), ("smash_share", "drop_share", "net_share", "drive_share", "sequence_predictability")))
+    seventh = variant(stroke_shares(events, ["video_id"], with_unknown=True), *names["shares"]).unionByName(variant(sequence_metrics(ahead, ["video_id"], with_unknown=True), *names["chain"]))
+    out = out.unionByName(check("S2", "unknown_as_seventh", seventh, names["shares"] + names["chain"]))
     long10 = base.filter("metric = 'long_rally_share_10'").select(F.col("base").alias("base_paired_delta"))
     for k in (8, 12):
         v = base.filter(f"metric = 'long_rally_share_{k}'").select(F.col("base").alias("variant_paired_delta"))
@@ -508,13 +558,16 @@ def sensitivity(events: DataFrame, repetitions: int = resample.REPETITIONS) -> D
         row = row.select(F.lit("S3").alias("test"), F.lit("long_rally_share_10").alias("metric"), F.lit(f"threshold_{k}").alias("variant"), "base_paired_delta", "variant_paired_delta", "direction_consistent", F.lit(True).alias("threshold_ok"), F.lit("PASS").alias("status"))
         out = out.unionByName(row)
     for k in (8, 4):
-        out = out.unionByName(check("S4", f"court_width_div_{k}", variant(divisor=k), ("spatial_diversity",)))
-    out = out.unionByName(check("S5", "raw_stroke_sequence", variant(raw_sequence=True), ("sequence_predictability",)))
-    guess = next_class_accuracy(events).select("video_id", "athlete", F.lit("sequence_predictability").alias("metric"), F.col("sequence_predictability").alias("value"))
-    out = out.unionByName(check("S5", "leave_one_match_out_next_class_accuracy", paired_mean(deltas(guess)), ("sequence_predictability",), F.col("value").isNotNull()))
-    out = out.unionByName(check("S6", "attack_plus_rush", variant(wide_attack=True), ("attack_entry_proxy", "terminal_attack_event_share", "defense_to_attack_proxy")))
+        out = out.unionByName(check("S4", f"court_width_div_{k}", variant(stroke_shares(events, ["video_id"], divisor=k), *names["space"]), names["space"]))
+    out = out.unionByName(check("S5", "raw_stroke_sequence", variant(sequence_metrics(ahead, ["video_id"], raw_sequence=True), *names["chain"]), names["chain"]))
+    pairs = ahead.filter("_ok_own").select("video_id", "athlete", F.col("_m0").alias("source"), F.col("macro_type").alias("target"))
+    guess = guessed_classes(pair_counts(pairs, ["video_id"], MACROS).localCheckpoint(), opponents).select("video_id", "athlete", F.lit("sequence_predictability").alias("metric"), F.col("sequence_predictability").alias("value"))
+    out = out.unionByName(check("S5", "leave_one_match_out_next_class_accuracy", paired_mean(deltas(guess)).localCheckpoint(), names["chain"], F.col("value").isNotNull()))
+    out = out.unionByName(check("S6", "attack_plus_rush", variant(rally_metrics(ahead, ["video_id"], wide_attack=True), *names["attack"]), names["attack"]))
+    ahead.unpersist()
+    events.unpersist()
     out = out.unionByName(check("S7", "complete_case", paired_mean(d, complete_cases(base_wide)), ("spatial_diversity",)))
-    grouped = d.filter(F.col("metric").isin(*main)).join(F.broadcast(events.select("video_id", "opponent").distinct()), "video_id")
+    grouped = d.filter(F.col("metric").isin(*main)).join(opponents, "video_id")
     cluster = resample.cluster_bootstrap(grouped, ["metric"], "opponent", "delta", "cluster", repetitions).join(F.broadcast(base), "metric")
     lo, hi = sign_of(F.col("ci_low")), sign_of(F.col("ci_high"))
     ok = F.when((lo != 0) & (hi != 0), lo == hi).otherwise(True)

@@ -341,6 +341,18 @@ def rally(name, types, side=None):
     return [{"event_id": f"{name}{i}", "rally_id": name, "stroke_index": str(i + 1), "hit_time": str(float(i)), "player": side or ("upper" if i % 2 == 0 else "lower"), "stroke_type": t} for i, t in enumerate(types)]
 
 
+def test_sensitivity_counts_the_strokes_once(spark):
+    types = ["lob", "smash", "?", "rush", "drop", "drive", "net shot", "lob", "clear", "smash"]
+    e = strokes(spark, rally("a", types) + rally("b", types[3:] + types[:4]) + rally("c", types[::-1]))
+    checks = profile.sensitivity(e, 20)
+    assert "InMemoryRelation" not in checks._jdf.queryExecution().optimizedPlan().toString()  # else each check goes through all strokes again
+    got = {(r.test, r.variant, r.metric): r.variant_paired_delta for r in checks.collect()}
+    for test, name, rule in (("S2", "unknown_as_seventh", {"with_unknown": True}), ("S4", "court_width_div_4", {"divisor": 4}), ("S5", "raw_stroke_sequence", {"raw_sequence": True}), ("S6", "attack_plus_rush", {"wide_attack": True})):
+        want = {r.metric: r.value for r in profile.paired_mean(profile.deltas(profile.long_form(profile.player_metrics(e, **rule), ["video_id"]))).collect()}
+        own = {m: v for (t, n, m), v in got.items() if (t, n) == (test, name)}
+        assert own and {m: want.get(m) for m in own} == own
+
+
 def test_entry_needs_a_classified_follower(spark):
     # own strokes of the focal side: lob, ?, smash | lob, ?, ? | clear, smash
     rows = rally("a", ["lob", "x", "smash"], "upper") + rally("b", ["lob", "x", "x"], "upper") + rally("c", ["clear", "smash"], "upper")
