@@ -140,6 +140,22 @@ def test_shuttle_far_off_is_suppressed_carried_and_reset(spark):
     assert (e[40].measurement_status, e[40].smoothed_xy) == ("initialized", [50.0, 10.0])
 
 
+def test_shuttle_parts_are_followed_as_a_stream(spark):
+    rows = [{"video_id": f"v{v}", "frame_idx": 40 * k + i, "shuttle": {"raw_xy": [float(10 + 3 * i + v), 20.0 + k], "confidence": 0.5 + i / 10} if i != 2 else {}} for v in range(3) for k in range(20) for i in range(4)]
+    f = frames(spark, rows + [{"video_id": "w", "frame_idx": 0, "players": None, "shuttle": {"raw_xy": [5.0, 6.0], "confidence": 0.9}}])
+    got = tracking.track_shuttle(f, 30.0)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # a group a part costs more than its rows
+    seen = {(r.video_id, r.frame_idx): r.shuttle for r in got.collect()}
+    assert len(seen) == 241 and seen["w", 0].smoothed_xy == [5.0, 6.0]
+    for v in range(3):
+        for k in range(20):
+            state = tracking.Shuttle(30.0)
+            for i in range(4):
+                want = state.see(40 * k + i, math.hypot(100, 100), [(0, float(10 + 3 * i + v), 20.0 + k, 0.5 + i / 10)] if i != 2 else [], [], 0.0)
+                s = seen[f"v{v}", 40 * k + i]
+                assert [s[n] for n in tracking.FOLLOWED] == [want.get(n) for n in tracking.FOLLOWED] and s.detector_candidate_count == int(i != 2)
+
+
 def test_shuttle_step_by_the_formulas():
     s = tracking.Shuttle(30.0)
     s.see(0, 100.0, [(0, 10.0, 10.0, 0.9)], [], 0.0)
