@@ -7,6 +7,8 @@ delete their scratch tables once their result is checkpointed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -20,6 +22,20 @@ BASE = 0x9E3779B97F4A7C15
 MASK64 = (1 << 64) - 1
 #: Bytes hashed at once; bounds a worker's memory whatever the length of a text.
 CHUNK = 1 << 20
+#: Bytes of a batch of rows that Spark hands to a worker; a longer row is a batch of its own.
+HANDED = 8 << 20
+
+
+def hand_little(spark: SparkSession) -> None:
+    """Let Spark hand rows to workers by bytes, not by 10 000 rows whatever their length: executor and worker each hold such a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(HANDED))
+
+
+def give_back() -> None:
+    """Give freed memory back to the system; workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +70,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark, self.tag, self.paths = spark, tag, []
         self.root = scratch_dir(spark)
+        hand_little(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
@@ -220,10 +237,14 @@ def batches(iterator, limit: int = 2 << 20):
     """Record batches in slices of about ``limit`` bytes of text, at least a row each.
 
     Arrays made of a slice take some twenty times its bytes, which bounds a worker's memory;
-    what Arrow holds of them is given back at the end, for workers are used again.
+    what is freed is given back at the end, and before, what other stages left.
     """
-    for batch in iterator:
-        rows = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(1, batch.nbytes))))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
+    try:
+        for batch in iterator:
+            rows = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(1, batch.nbytes))))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            del batch
+    finally:
+        give_back()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rallyline.llm._base import batches, load, mix
+from rallyline.llm._base import batches, hand_little, load, mix
 
 ORDER = 4
 PER_LANG = 1000
@@ -219,6 +219,7 @@ class Calibration:
 def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG) -> tuple[Model, Calibration] | None:
     """Model and calibration from a bounded sample of the labelled documents."""
     spark = docs.sparkSession
+    hand_little(spark)
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     by_hash = Window.partitionBy("lang").orderBy("order", "doc_id")
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))

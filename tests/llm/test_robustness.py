@@ -285,3 +285,15 @@ def test_pipeline(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    _base.Scratch(spark, "test")
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(iterator):
+        for batch in _base.batches(iterator, 1 << 30):
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    got = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 40 and max(r.size for r in got) <= _base.HANDED + (2 << 20)
